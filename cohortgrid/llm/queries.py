@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .byte_bpe import byte_bpe
 from .chat_format import format_turns, read_back
 from .common import table
 from .exact_dedup import exact_dedup
 from .license_scan import license_scan
+from .near_dedup import near_dedup
 from .quality_rules import quality_rules
 from .warc import read_warc, write_warc
 
+#: The vocabulary of op7.
+RANKS = "byte_bpe_multi_50k.tiktoken"
 #: What op2 adds to the table: a conversation whose texts hold control strings.
 CONTROL_CASE = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
 
@@ -30,6 +34,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(write_warc(table(spark, sf_dir, "pages")), with_payload=False).drop("payload")
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents")).drop("_row")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -38,6 +46,12 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).drop("_row")
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
