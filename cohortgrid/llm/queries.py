@@ -11,7 +11,9 @@ from .chat_format import format_turns, read_back
 from .common import table
 from .exact_dedup import exact_dedup
 from .license_scan import license_scan
+from .mixing import mix
 from .near_dedup import near_dedup
+from .pii import find_pii
 from .quality_rules import quality_rules
 from .warc import read_warc, write_warc
 
@@ -52,6 +54,14 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents")).drop("_row", "all_spans")
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("_row")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
