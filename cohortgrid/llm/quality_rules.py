@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import row_key, written
 
 MIN_WORDS, MAX_REPEAT_PCT = 50, 50
 #: A host whose shrunk failure rate is above this loses its other documents too.
@@ -63,22 +63,22 @@ def measures(text: str) -> tuple[int, int, int, int, int]:
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     for b in batches:
-        found = [measures(x.as_py() or "") for x in b.column(2)]
+        found = [measures(x.as_py() or "") for x in b.column(3)]
         cols = [pa.array([r[k] for r in found], pa.int64()) for k in range(5)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["_id", "_host", *names])
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], *cols], ["_row", "_id", "_host", *names])
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """Per row: id, the five counts, base_failed, host, host_rate (shrunk), kept."""
+    """Per row: _row, id, the five counts, base_failed, host, host_rate (shrunk), kept."""
     kind = dict(docs.dtypes)[id_col]
-    found = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("\0null")).alias("_host"), F.col(text_col).alias("_t")).mapInArrow(
-        _measure, f"_id {kind}, _host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+    found = docs.select(row_key().alias("_row"), F.col(id_col).alias("_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("\0null")).alias("_host"), F.col(text_col).alias("_t")).mapInArrow(
+        _measure, f"_row long, _id {kind}, _host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words"))
     rows = written(found.withColumn("base_failed", failed), "quality")
     verdicts = host_verdicts(rows)
     return rows.join(verdicts, "_host", "left").select(
-        F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        "_row", F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         F.when(F.col("_host") != "\0null", F.col("_host")).alias("host"), "host_rate",
         (~F.col("base_failed") & (F.col("host_rate") <= HOST_LIMIT)).alias("kept"),
     )

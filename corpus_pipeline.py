@@ -1,12 +1,58 @@
-"""The corpus pipeline: stages over documents, each written and reread by run()."""
+"""The corpus pipeline: stages over documents, each written and reread by run().
+
+Stages take (spark, docs, sf_dir) and work on all rows their predecessor kept;
+all but the last return the columns of documents. Rows are told apart by their
+place in the table, so ids may repeat or be null.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortgrid.llm.common import new_path, table
+from cohortgrid.llm.byte_bpe import byte_bpe
+from cohortgrid.llm.common import new_path, row_key, table
+from cohortgrid.llm.exact_dedup import exact_dedup
+from cohortgrid.llm.mixing import mix
+from cohortgrid.llm.near_dedup import near_dedup
+from cohortgrid.llm.quality_rules import quality_rules
+
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+def only(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The documents whose row key is in rows._row."""
+    key = "_row"
+    while key in docs.columns:
+        key += "_"
+    return docs.withColumn(key, row_key()).join(rows.select(rows["_row"].alias(key)), key, "left_semi").drop(key)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return only(docs, quality_rules(docs).filter("kept"))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return only(docs, exact_dedup(docs).filter("kept"))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return only(docs, near_dedup(docs).filter("kept"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing without repeats: a document stays if its rate gives it a copy; further copies are not written, as the corpus was just deduplicated."""
+    return only(docs, mix(docs, table(spark, sf_dir, "labels")).filter("copies > 0"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return byte_bpe(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("quality", quality), ("exact", exact), ("near", near), ("mixing", mixing), ("tokens", tokens)]
 
-STAGES: list = []
 #: Order MinHash and mixing iterate, and byte-level BPE isn't SQL; run() is tested against a plain Python version instead.
 ORACLE_SQL = None
 
