@@ -36,36 +36,36 @@ DOMAINS = ("high", "low", "toxic")
 #: Shares of the mixture. The domain with the largest share is the anchor: its tokens are to be met once, the others follow from that.
 TARGETS = {"high": 0.94, "low": 0.05, "toxic": 0.01}
 
-#: Labelled documents that the classifier is fitted on at most; buckets of hashed words; weight of the corpus in a bucket's shrinkage, in words; share of the evidence that counts.
-MAX_LABELLED, BUCKETS, SHRINK, TEMPER = 20_000, 16_384, 20.0, 0.5
+#: Labelled documents that the classifier is fitted on at most; buckets of hashed words; weight of the corpus in a bucket's shrinkage, in documents; share of the evidence that counts.
+MAX_LABELLED, BUCKETS, SHRINK, TEMPER = 20_000, 65_536, 4.0, 0.5
 STEP = 0.001
 #: Pull towards rate 1, steps of the descent, and the largest residual (share of the target) at which it ends.
 RIDGE, STEPS, ENOUGH = 0.001, 40, 0.005
 
 
 def words_of(docs: DataFrame, text_col: str, *keep: Column) -> DataFrame:
-    """A row per word with its bucket; a document without words has one row with bucket null."""
+    """A row per different word of a document, with its bucket, the columns to keep (_k0, _k1 ...) and n_tokens; without words one row, bucket null."""
     split = F.array_remove(F.split(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), GAP), "")
-    names = [c.alias(f"_k{k}") for k, c in enumerate(keep)]
-    # Two selects: row keys are made before there is a row per word.
-    rows = docs.select(*names, split.alias("_all")).select(*[f"_k{k}" for k in range(len(keep))], F.explode_outer("_all").alias("_w"))
-    return rows.withColumn("bucket", F.pmod(F.xxhash64("_w"), F.lit(BUCKETS))).drop("_w")
+    names = [f"_k{k}" for k in range(len(keep))]
+    # Row keys are made before there is a row per word.
+    rows = docs.select(*[c.alias(k) for c, k in zip(keep, names, strict=True)], split.alias("_all"))
+    rows = rows.select(*names, F.size("_all").cast("long").alias("n_tokens"), F.explode_outer(F.array_distinct("_all")).alias("_w"))
+    return rows.select(*names, "n_tokens", F.pmod(F.xxhash64("_w"), F.when(F.col("_w").isNotNull(), F.lit(BUCKETS))).alias("bucket"))
 
 
 def word_table(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, dict[str, float]]:
-    """Weights per bucket and domain (log of the shrunk share in the domain over that in all), and log priors."""
+    """Weights per bucket and domain (log of the shrunk share of the domain's documents that hold it over that of all), and priors."""
     domain = F.when(F.col("toxic") == 1, F.lit("toxic")).when(F.col("quality") == 0, F.lit("low")).when(F.col("quality") == 1, F.lit("high"))
     known = labels.select(F.col(id_col).alias("_id"), domain.alias("domain")).dropna().groupBy("_id").agg(F.max("domain").alias("domain"))
     known = written(known.orderBy(F.xxhash64("_id"), "_id").limit(MAX_LABELLED), "labelled")
-    shares = {r["domain"]: r["n"] for r in known.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
-    prior = {d: (shares.get(d, 0) + 1) / (sum(shares.values()) + len(DOMAINS)) for d in DOMAINS}
-    seen = words_of(docs, text_col, F.col(id_col)).withColumnRenamed("_k0", "_id").filter("bucket is not null").join(F.broadcast(known), "_id")
-    counts = seen.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *[F.count(F.when(F.col("domain") == d, 1)).alias(d) for d in DOMAINS])
-    counts = written(counts, "word-counts")
-    sums = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", *DOMAINS)]).first()
-    share = F.col("n") / max(sums["n"], 1)
-    # A domain's bucket count against what its size lets expect, both with SHRINK words added.
-    weights = [F.log((F.col(d) + SHRINK) / (share * sums[d] + SHRINK)).alias(d) for d in DOMAINS]
+    seen = words_of(docs, text_col, F.col(id_col)).withColumnRenamed("_k0", "_id").join(F.broadcast(known), "_id")
+    each = [F.count(F.when(F.col("domain") == d, 1)).alias(d) for d in DOMAINS]
+    # How many labelled documents are here: those of labels may be gone from docs.
+    here = docs.select(F.col(id_col).alias("_id")).join(F.broadcast(known), "_id").agg(F.count(F.lit(1)).alias("n"), *each).first()
+    prior = {d: (here[d] + 1) / (here["n"] + len(DOMAINS)) for d in DOMAINS}
+    counts = written(seen.filter("bucket is not null").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *each), "word-counts")
+    share = F.col("n") / max(here["n"], 1)
+    weights = [F.log((F.col(d) + SHRINK * share) / ((here[d] + SHRINK) * share)).alias(d) for d in DOMAINS]
     return counts.select("bucket", *weights), prior
 
 
@@ -73,7 +73,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     """Per row: _row, _id, n_tokens, p_high, p_low, p_toxic."""
     weights, prior = word_table(docs, labels, id_col, text_col)
     met = words_of(docs, text_col, row_key(), F.col(id_col)).withColumnsRenamed({"_k0": "_row", "_k1": "_id"}).join(F.broadcast(weights), "bucket", "left")
-    sums = met.groupBy("_row", "_id").agg(F.count("bucket").alias("n_tokens"), *[F.coalesce(F.sum(d), F.lit(0.0)).alias(d) for d in DOMAINS])
+    sums = met.groupBy("_row", "_id", "n_tokens").agg(*[F.coalesce(F.sum(d), F.lit(0.0)).alias(d) for d in DOMAINS])
     score = {d: F.log(F.lit(prior[d])) + TEMPER * F.col(d) for d in DOMAINS}
     top = F.greatest(*score.values())
     odds = {d: F.exp(s - top) for d, s in score.items()}
