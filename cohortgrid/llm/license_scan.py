@@ -53,17 +53,24 @@ K, LONG = 2, 8
 MIN_COVER, MERGE = 0.6, 3
 
 
-def templates(spark) -> DataFrame:
-    """One row for each gram of each notice, and the row (template -1) that every document's own marker meets."""
-    rows, texts = [(-1, None, False, 1, 1, 0, [])], [(p, label, True) for p, label in BASE.items()]
+def notice_grams() -> list[tuple]:
+    """template, label, base, grams of the notice, grams that must vote, position, the gram's words: a row per gram."""
+    rows, texts = [], [(p, label, True) for p, label in BASE.items()]
     texts += [(t, label, False) for label, ts in NOTICES.items() for t in ts]
     for n, (text, label, base) in enumerate(texts):
         words = text.split()
         grams = len(words) - K + 1
         need = math.ceil(grams * MIN_COVER) if len(words) >= LONG else grams
         rows += [(n, label, base, grams, need, i, words[i : i + K]) for i in range(grams)]
+    return rows
+
+
+def templates(spark) -> DataFrame:
+    """notice_grams() with their hashes, and the row (template -1) that every document's own marker meets."""
     names = ("template", "label", "base", "grams", "need", "t_pos")
-    made = [F.struct(*[F.lit(v).alias(c) for c, v in zip(names, r, strict=False)], *[(f(*map(F.lit, r[6])) if r[6] else F.lit(0)).cast(t).alias(c) for f, t, c in ((F.xxhash64, "long", "h"), (F.hash, "int", "check"))]) for r in rows]
+    rows = [(-1, None, False, 1, 1, 0, []), *notice_grams()]
+    hashes = lambda words: [(f(*map(F.lit, words)) if words else F.lit(0)).cast(t).alias(c) for f, t, c in ((F.xxhash64, "long", "h"), (F.hash, "int", "check"))]
+    made = [F.struct(*[F.lit(v).alias(c) for c, v in zip(names, r, strict=False)], *hashes(r[6])) for r in rows]
     return spark.range(1).select(F.inline(F.array(*made)))
 
 

@@ -1,3 +1,49 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from .license_scan import MERGE, notice_grams
+from .quality_rules import HOST_LIMIT, MAX_PRIOR, MIN_PRIOR
+from .warc import MIN_REVISIT
+
+FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def license_sql() -> str:
+    text = lambda s: "NULL" if s is None else f"'{s}'"
+    rows = ", ".join(f"({n}, {text(label)}, {base}, {grams}, {need}, {pos}, '{gram[0]}', '{gram[1]}')" for n, label, base, grams, need, pos, gram in notice_grams())
+    return f"""WITH t(template, label, base, grams, need, t_pos, a, b) AS (VALUES {rows}),
+ d AS (SELECT doc_id, regexp_extract_all({FOLD}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+ p AS (SELECT doc_id, i - 1 AS pos, w[i] AS a, w[i + 1] AS b FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM d)),
+ v AS (SELECT doc_id, template, label, base, grams, need, pos - t_pos AS diagonal, count(*) AS votes FROM p JOIN t USING (a, b) GROUP BY ALL),
+ o AS (SELECT *, coalesce(CAST(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > CASE WHEN need < grams THEN {MERGE} ELSE 0 END AS INT), 1) AS opens FROM v),
+ s AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM o),
+ f AS (SELECT doc_id, template, label, base, grams, least(sum(votes), grams) AS votes, min(diagonal) AS start FROM s GROUP BY doc_id, template, label, base, grams, need, span HAVING least(sum(votes), grams) >= need),
+ r AS (SELECT doc_id, count(*) FILTER (WHERE base) AS n_base, min(start) FILTER (WHERE base) AS first_word, max(start) FILTER (WHERE base) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels,
+  string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(votes / grams) AS score, count(*) AS n_spans FROM f GROUP BY doc_id)
+ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score, coalesce(n_spans, 0) AS n_spans FROM d LEFT JOIN r USING (doc_id)"""
+
+
+MARKS = "'[<\\[]\\\\*/?(?:s>|INST\\])'"
+CHAT = f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+ sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, CAST(sum(20 + length(role) + length(text) + len(regexp_extract_all(role, {MARKS})) + len(regexp_extract_all(text, {MARKS}))) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id"""
+
+BASE32 = "array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, 5 * (k // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (k % 4))) & 31 AS INT) + 1, 1) for k in range(32)], '')"
+WARC = f"""WITH p AS (SELECT page_id, url, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages), m AS (SELECT *, CASE WHEN n >= {MIN_REVISIT} THEN max(page_id) OVER (PARTITION BY h, n) END AS keep FROM p)
+ SELECT page_id, url, CAST(n AS BIGINT) AS payload_bytes, {BASE32} AS payload_digest, CASE WHEN keep <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN keep <> page_id THEN keep END AS refers_to FROM m"""
+
+QUALITY = f"""WITH d AS (SELECT doc_id, coalesce(source, chr(0) || 'null') AS host, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+ g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+ r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1), c AS (SELECT doc_id, count(DISTINCT i + o) AS n_repeat FROM (SELECT doc_id, i, unnest([0, 1, 2]) AS o FROM r) GROUP BY doc_id),
+ m AS (SELECT doc_id, host, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  [x for x in string_split(t, chr(10)) if regexp_matches(x, '[^\\x20\\x09-\\x0D]')] AS l, coalesce(n_repeat, 0) AS n_repeat_words FROM d LEFT JOIN c USING (doc_id)),
+ q AS (SELECT *, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+ h AS (SELECT host, count(*) AS n, count(*) FILTER (WHERE base_failed) AS f FROM q GROUP BY host), s AS (SELECT sum(f) / sum(n) AS m, var_pop(f / n) AS v FROM h),
+ k AS (SELECT m, least(greatest(coalesce(m * (1 - m) / nullif(v, 0) - 1, {MAX_PRIOR}), {MIN_PRIOR}), {MAX_PRIOR}) AS k FROM s), z AS (SELECT host, round((f + m * k) / (n + k), 9) AS host_rate FROM h, k)
+ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, CASE WHEN host <> chr(0) || 'null' THEN host END AS host, host_rate, NOT base_failed AND host_rate <= {HOST_LIMIT} AS kept FROM q JOIN z USING (host)"""
+
+EXACT = f"""WITH t AS (SELECT doc_id, {FOLD} AS t FROM documents), g AS (SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, sha256(t) AS text_sha256 FROM t)
+ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g"""
+
+ORACLES: dict[str, str] = {"op1_license_scan": license_sql(), "op2_chat_format": CHAT, "op3_warc": WARC, "op5_quality_rules": QUALITY, "op6_exact_dedup": EXACT}
