@@ -37,7 +37,7 @@ DOMAINS = ("high", "low", "toxic")
 TARGETS = {"high": 0.94, "low": 0.05, "toxic": 0.01}
 
 #: Labelled documents that the classifier is fitted on at most; buckets of hashed words; weight of the corpus in a bucket's shrinkage, in documents; share of the evidence that counts.
-MAX_LABELLED, BUCKETS, SHRINK, TEMPER = 20_000, 65_536, 4.0, 0.5
+MAX_LABELLED, BUCKETS, SHRINK, TEMPER = 20_000, 65_536, 3.0, 0.5
 STEP = 0.001
 #: Pull towards rate 1, steps of the descent, and the largest residual (share of the target) at which it ends.
 RIDGE, STEPS, ENOUGH = 0.001, 40, 0.005
@@ -54,7 +54,7 @@ def words_of(docs: DataFrame, text_col: str, *keep: Column) -> DataFrame:
 
 
 def word_table(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, dict[str, float]]:
-    """Weights per bucket and domain (log of the shrunk share of the domain's documents that hold it over that of all), and priors."""
+    """Weights per bucket and domain (log of the domain's shrunk document count over the expected one), and priors."""
     domain = F.when(F.col("toxic") == 1, F.lit("toxic")).when(F.col("quality") == 0, F.lit("low")).when(F.col("quality") == 1, F.lit("high"))
     known = labels.select(F.col(id_col).alias("_id"), domain.alias("domain")).dropna().groupBy("_id").agg(F.max("domain").alias("domain"))
     known = written(known.orderBy(F.xxhash64("_id"), "_id").limit(MAX_LABELLED), "labelled")
@@ -65,7 +65,8 @@ def word_table(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -
     prior = {d: (here[d] + 1) / (here["n"] + len(DOMAINS)) for d in DOMAINS}
     counts = written(seen.filter("bucket is not null").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *each), "word-counts")
     share = F.col("n") / max(here["n"], 1)
-    weights = [F.log((F.col(d) + SHRINK * share) / ((here[d] + SHRINK) * share)).alias(d) for d in DOMAINS]
+    # The domain's count against what its size lets expect, with SHRINK documents more in both.
+    weights = [F.log((F.col(d) + SHRINK) / (here[d] * share + SHRINK)).alias(d) for d in DOMAINS]
     return counts.select("bucket", *weights), prior
 
 

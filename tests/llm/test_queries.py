@@ -1,0 +1,29 @@
+"""The registered queries against their SQL, and the pipeline against what its stages are to do."""
+
+import corpus_pipeline
+import pytest
+from cohortgrid.llm.queries import oracle_sql, queries
+from compare import connect, differences
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_same_rows_as_sql(spark, name):
+    assert differences(spark, connect(SF), SF, queries()[name], oracle_sql()[name]) == ""
+
+
+def test_pipeline_keeps_what_its_stages_keep(spark):
+    docs, before = corpus_pipeline.table(spark, SF, "documents"), None
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        rows = {tuple(r) for r in out.collect()}
+        assert out.columns == docs.columns
+        if before is not None:
+            assert rows <= before, name
+        before = rows
+        docs = spark.createDataFrame(list(rows), docs.schema).coalesce(1).persist()
+    texts = [r[1].translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for r in rows]
+    assert len(texts) == len(set(texts)) > 50
+    final = corpus_pipeline.run(spark, SF)
+    assert {r.doc_id for r in final.collect()} == {r[0] for r in rows}
