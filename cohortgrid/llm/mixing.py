@@ -36,8 +36,8 @@ DOMAINS = ("high", "low", "toxic")
 #: Shares of the mixture. The domain with the largest share is the anchor: its tokens are to be met once, the others follow from that.
 TARGETS = {"high": 0.94, "low": 0.05, "toxic": 0.01}
 
-#: Labelled documents that the classifier is fitted on at most; buckets of hashed words; weight of the corpus in a bucket's shrinkage, in documents; share of the evidence that counts.
-MAX_LABELLED, BUCKETS, SHRINK, TEMPER = 20_000, 65_536, 3.0, 0.5
+#: Labelled documents that the classifier is fitted on at most; buckets of hashed words; weight of the corpus in a bucket's shrinkage, in documents; different words from which the evidence is tempered.
+MAX_LABELLED, BUCKETS, SHRINK, TEMPER = 20_000, 65_536, 3.0, 128
 STEP = 0.001
 #: Pull towards rate 1, steps of the descent, and the largest residual (share of the target) at which it ends.
 RIDGE, STEPS, ENOUGH = 0.001, 40, 0.005
@@ -74,8 +74,9 @@ def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     """Per row: _row, _id, n_tokens, p_high, p_low, p_toxic."""
     weights, prior = word_table(docs, labels, id_col, text_col)
     met = words_of(docs, text_col, row_key(), F.col(id_col)).withColumnsRenamed({"_k0": "_row", "_k1": "_id"}).join(F.broadcast(weights), "bucket", "left")
-    sums = met.groupBy("_row", "_id", "n_tokens").agg(*[F.coalesce(F.sum(d), F.lit(0.0)).alias(d) for d in DOMAINS])
-    score = {d: F.log(F.lit(prior[d])) + TEMPER * F.col(d) for d in DOMAINS}
+    sums = met.groupBy("_row", "_id", "n_tokens").agg(F.count("bucket").alias("n_different"), *[F.coalesce(F.sum(d), F.lit(0.0)).alias(d) for d in DOMAINS])
+    # Words of a text are not independent: their evidence grows with the root of their number.
+    score = {d: F.log(F.lit(prior[d])) + F.col(d) / F.sqrt(1 + F.col("n_different") / TEMPER) for d in DOMAINS}
     top = F.greatest(*score.values())
     odds = {d: F.exp(s - top) for d, s in score.items()}
     total = reduce(Column.__add__, odds.values())
