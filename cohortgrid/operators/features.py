@@ -10,18 +10,19 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip, ratio
 from .contracts import fail, none_of
 
-B = F.col("beta").cast("double")
+def beta() -> Column:
+    return F.col("beta").cast("double")
 
 
 def probe_stats(cells: DataFrame, *by: str) -> DataFrame:
     """n_obs, frac_missing, mean and variance (n - 1; null for one value) over observed cells."""
-    return cells.groupBy(*by, "probe").agg(F.count("beta").alias("n_obs"), F.avg(F.col("beta").isNull().cast("int")).alias("frac_missing"), F.avg(B).alias("mean"), F.var_samp(B).alias("var"))
+    return cells.groupBy(*by, "probe").agg(F.count("beta").alias("n_obs"), F.avg(F.col("beta").isNull().cast("int")).alias("frac_missing"), F.avg(beta()).alias("mean"), F.var_samp(beta()).alias("var"))
 
 
 def fit_missingness(cells: DataFrame, max_missing: float = 0.05, *by: str) -> DataFrame:
@@ -35,7 +36,7 @@ def keep_probes(cells: DataFrame, probes: DataFrame, *by: str) -> DataFrame:
 
 def fit_medians(cells: DataFrame, *by: str) -> DataFrame:
     """Exact medians of observed cells, as single precision; a probe without any has null (and check_medians() fails)."""
-    return cells.groupBy(*by, "probe").agg(F.median(B).cast("float").alias("median"))
+    return cells.groupBy(*by, "probe").agg(F.median(beta()).cast("float").alias("median"))
 
 
 def check_medians(medians: DataFrame) -> DataFrame:
@@ -44,14 +45,14 @@ def check_medians(medians: DataFrame) -> DataFrame:
 
 
 def impute(cells: DataFrame, medians: DataFrame, *by: str) -> DataFrame:
-    return cells.join(medians, [*by, "probe"]).withColumn("beta", F.coalesce(B, F.col("median").cast("double"))).drop("median")
+    return cells.join(medians, [*by, "probe"]).withColumn("beta", F.coalesce(beta(), F.col("median").cast("double"))).drop("median")
 
 
 def class_differences(cells: DataFrame, first: str = "FFPE", min_each: int = 2, *by: str) -> DataFrame:
     """Per class and probe: mean of the first material minus that of the other, n of both, weight n1 n2 / (n1 + n2); classes with min_each of both."""
     is_first = F.col("material") == first
     sums = cells.groupBy(*by, "class", "probe").agg(
-        F.avg(F.when(is_first, B)).alias("m1"), F.avg(F.when(~is_first, B)).alias("m2"), F.count(F.when(is_first, B)).alias("n1"), F.count(F.when(~is_first, B)).alias("n2")
+        F.avg(F.when(is_first, beta())).alias("m1"), F.avg(F.when(~is_first, beta())).alias("m2"), F.count(F.when(is_first, beta())).alias("n1"), F.count(F.when(~is_first, beta())).alias("n2")
     )
     return sums.filter((F.col("n1") >= min_each) & (F.col("n2") >= min_each)).select(*by, "class", "probe", "n1", "n2", (F.col("m1") - F.col("m2")).alias("diff"), (F.col("n1") * F.col("n2") / (F.col("n1") + F.col("n2")).cast("double")).alias("weight"))
 
@@ -63,8 +64,8 @@ def fit_shift(cells: DataFrame, first: str = "FFPE", min_each: int = 2, *by: str
 
 def correct(cells: DataFrame, shift: DataFrame, first: str = "FFPE", *by: str) -> DataFrame:
     """Takes the shift from the first material's cells and clips them to [0, 1]; others stay."""
-    moved = clip(B - F.col("shift"), 0.0, 1.0)
-    return cells.join(shift, [*by, "probe"]).withColumn("beta", F.when(F.col("material") == first, moved).otherwise(B)).drop("shift")
+    moved = clip(beta() - F.col("shift"), 0.0, 1.0)
+    return cells.join(shift, [*by, "probe"]).withColumn("beta", F.when(F.col("material") == first, moved).otherwise(beta())).drop("shift")
 
 
 def check_materials(fitted: DataFrame, new: DataFrame) -> None:
@@ -73,7 +74,7 @@ def check_materials(fitted: DataFrame, new: DataFrame) -> None:
 
 def fit_top_variance(cells: DataFrame, k: int, *by: str) -> DataFrame:
     """The k probes of largest variance, ties to the lower probe; n - 1."""
-    var = cells.groupBy(*by, "probe").agg(F.var_samp(B).alias("var"))
+    var = cells.groupBy(*by, "probe").agg(F.var_samp(beta()).alias("var"))
     order = [F.desc("var"), F.asc("probe")]
     if not by:
         return var.orderBy(*order).limit(k)
@@ -88,13 +89,13 @@ def leave_one_out(differences: DataFrame) -> DataFrame:
 
 def standardise(cells: DataFrame, fitted_on: DataFrame) -> DataFrame:
     """(x - mean) / deviation, the deviation (n) at least 0.001, fitted on other cells."""
-    stats = fitted_on.groupBy("probe").agg(F.avg(B).alias("m"), F.greatest(F.stddev_pop(B), F.lit(1e-3)).alias("sd"))
-    return cells.join(stats, "probe").withColumn("z", (B - F.col("m")) / F.col("sd")).drop("m", "sd")
+    stats = fitted_on.groupBy("probe").agg(F.avg(beta()).alias("m"), F.greatest(F.stddev_pop(beta()), F.lit(1e-3)).alias("sd"))
+    return cells.join(stats, "probe").withColumn("z", (beta() - F.col("m")) / F.col("sd")).drop("m", "sd")
 
 
 def f_statistic(cells: DataFrame) -> DataFrame:
     """One-way F per probe over the classes present; 0 where nothing varies within them."""
-    per = cells.groupBy("probe", "class").agg(F.count(B).alias("n"), F.sum(B).alias("s"), F.sum(B * B).alias("q"))
+    per = cells.groupBy("probe", "class").agg(F.count(beta()).alias("n"), F.sum(beta()).alias("s"), F.sum(beta() * beta()).alias("q"))
     both = per.groupBy("probe").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b"))
     between, within = F.col("b") - F.col("s") * F.col("s") / F.col("n"), F.col("q") - F.col("b")
     return both.select("probe", F.when(within <= 1e-12, F.lit(0.0)).otherwise(ratio(between / (F.col("k") - 1), within / (F.col("n") - F.col("k")))).alias("f"))

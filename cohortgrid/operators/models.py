@@ -6,19 +6,20 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .contracts import none_of
 
 VAR_FLOOR = 1e-4
-B = F.col("beta").cast("double")
+def beta() -> Column:
+    return F.col("beta").cast("double")
 
 
 def fit_centroids(cells: DataFrame) -> DataFrame:
     """class, probe, a = mean / variance, b = mean^2 / variance; the variance is pooled within classes, n - K degrees (1 at least), plus a floor."""
     seen = cells.filter("beta is not null")
-    per = seen.groupBy("class", "probe").agg(F.avg(B).alias("mean"), (F.var_pop(B) * F.count(B)).alias("ss"))
+    per = seen.groupBy("class", "probe").agg(F.avg(beta()).alias("mean"), (F.var_pop(beta()) * F.count(beta())).alias("ss"))
     size = seen.agg(F.greatest(F.countDistinct("sample_id") - F.countDistinct("class"), F.lit(1)).alias("df"))
     # One row.
     pooled = per.groupBy("probe").agg(F.sum("ss").alias("ss")).withColumn("one", F.lit(1)).join(F.broadcast(size.withColumn("one", F.lit(1))), "one")
@@ -28,7 +29,7 @@ def fit_centroids(cells: DataFrame) -> DataFrame:
 
 def centroid_distances(cells: DataFrame, centroids: DataFrame, *by: str) -> DataFrame:
     """Per sample and class: the distance over observed probes, without the term that is equal for all classes, and the probes observed."""
-    met = cells.filter("beta is not null").select(*by, "sample_id", "probe", B.alias("x")).join(centroids.select("class", "probe", "a", "b"), "probe")
+    met = cells.filter("beta is not null").select(*by, "sample_id", "probe", beta().alias("x")).join(centroids.select("class", "probe", "a", "b"), "probe")
     return met.groupBy(*by, "sample_id", "class").agg(F.sum(-2 * F.col("x") * F.col("a") + F.col("b")).alias("distance"), F.count(F.lit(1)).alias("n_obs"))
 
 
@@ -48,14 +49,14 @@ def top_class(scores: DataFrame, *by: str) -> DataFrame:
 def linear_attribution(cells: DataFrame, centroids: DataFrame, target: int) -> DataFrame:
     """Each probe's exact share in minus half the distance to one class relative to the mean of all: shares add up to the score."""
     n = F.col("x") * F.col("a") - F.col("b") / 2
-    met = cells.filter("beta is not null").select("sample_id", "probe", B.alias("x")).join(centroids.select("class", "probe", "a", "b"), "probe")
+    met = cells.filter("beta is not null").select("sample_id", "probe", beta().alias("x")).join(centroids.select("class", "probe", "a", "b"), "probe")
     return met.groupBy("sample_id", "probe").agg((F.sum(F.when(F.col("class") == target, n)) - F.avg(n)).alias("share"))
 
 
 def vectors(cells: DataFrame, *keep: str) -> DataFrame:
     """A row per sample with its betas in the order of probes, as a vector; missing cells are not allowed."""
     none_of(cells.filter("beta is null").select("sample_id", "probe"), "a missing cell; impute first")
-    rows = cells.groupBy("sample_id", *keep).agg(F.array_sort(F.collect_list(F.struct("probe", B.alias("x")))).alias("v"))
+    rows = cells.groupBy("sample_id", *keep).agg(F.array_sort(F.collect_list(F.struct("probe", beta().alias("x")))).alias("v"))
     return rows.select("sample_id", *keep, array_to_vector(F.transform("v", lambda s: s["x"])).alias("features"))
 
 
