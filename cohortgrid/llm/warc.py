@@ -173,4 +173,5 @@ def _reader(with_payload: bool):
 
 def read_warc(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
     """A row per record of the archives: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null for revisits)."""
-    return manifest.select("path", "records").repartition("path").mapInArrow(_reader(with_payload), RECORDS)
+    # A task per archive: by the size of the manifest's rows Spark would read them all in one.
+    return manifest.select("path", "records").repartition(max(1, manifest.count())).mapInArrow(_reader(with_payload), RECORDS)
