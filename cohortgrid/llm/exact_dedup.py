@@ -32,12 +32,13 @@ WIDTHS = (64, 256, 1024, 4096, 16384, 65536, 262144)
 
 def exact_groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows of groups of two or more: _row, keep_id, _keep (the row that stays), group_size."""
-    text = F.encode(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), "UTF-8")
+    # A-Z are single bytes in UTF-8, so a run of bytes can be lower-cased without the rest, as Latin-1.
+    raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     alive, ended, level, start = None, [], 0, 0
     while True:
         width = WIDTHS[min(level, len(WIDTHS) - 1)]
-        rows = docs.select(row_key().alias("_row"), F.col(id_col).alias("_id"), text.alias("_b")).filter(F.octet_length("_b") >= start)
-        rows = rows.select("_row", "_id", F.substring("_b", start + 1, width).alias("_bytes"))
+        run = F.encode(ascii_lower(F.decode(F.substring(raw, start + 1, width), "ISO-8859-1")), "ISO-8859-1")
+        rows = docs.select(row_key().alias("_row"), F.col(id_col).alias("_id"), F.col(text_col)).filter(F.octet_length(raw) >= start).select("_row", "_id", run.alias("_bytes"))
         rows = rows.withColumn("_group", F.lit(0).cast("long")) if alive is None else rows.join(alive, "_row")
         if alive is not None:
             rows = written(rows, "radix-rows")
