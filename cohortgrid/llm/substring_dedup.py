@@ -15,6 +15,7 @@ to it are sorted deep-shallow: multikey quicksort on eight bytes a step to
 SHALLOW bytes, then blind tries for what is still tied. Neighbours' common
 prefixes give l and r of all pairs, hence the furthest shared window to either
 side; all windows of an anchor overlap, so the outermost two bound what goes.
+Pairs are looked at a row at a time, in memory of the group's size.
 (3) Groups of more than GROUP different contexts are not sorted in one task:
 their windows are counted by digest instead, each as a row, summed before the
 shuffle. It is exact too, and no cap.
@@ -45,7 +46,7 @@ LENGTH, KMER = 400, 80
 #: k-mers in a window, and so how far before its anchor a window can start.
 SPAN = LENGTH - KMER + 1
 REACH = SPAN - 1
-SHALLOW, GROUP = 32, 256
+SHALLOW, GROUP = 32, 4096
 #: Bytes that are hashed at a time; neighbouring blocks overlap.
 BLOCK = 1 << 20
 
@@ -100,8 +101,8 @@ def digest(*parts: bytes) -> int:
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows, hs, cs, offs = [], [], [], []
-        for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            data = (text or "").encode()
+        for row, text in zip(b.column(0), b.column(1), strict=True):  # one text in memory at a time
+            row, data = row.as_py(), text.as_py().encode()
             if len(data) < LENGTH:
                 continue
             at, h = anchors(np.frombuffer(data, np.uint8))
@@ -190,24 +191,31 @@ def deep_shallow(strings: list[bytes]) -> list[int]:
     return out
 
 
-def shared_lengths(strings: list[bytes]) -> np.ndarray:
-    """Common prefixes of all pairs, from those of neighbours in order; 0 with itself."""
-    order, n = deep_shallow(strings), len(strings)
-    near = np.array([common(strings[a], strings[b]) for a, b in zip(order, order[1:], strict=False)], np.int32)
-    out = np.zeros((n, n), np.int32)
-    for k in range(n - 1):
-        run = np.minimum.accumulate(near[k:])
-        out[order[k], order[k + 1 :]] = run
-        out[order[k + 1 :], order[k]] = run
-    return out
+class Shared:
+    """Common prefixes of one string with all others, from those of neighbours in order."""
+
+    def __init__(self, strings: list[bytes]) -> None:
+        self.order = np.array(deep_shallow(strings), np.int64)
+        self.place = np.argsort(self.order)
+        self.near = np.array([common(strings[a], strings[b]) for a, b in zip(self.order, self.order[1:], strict=False)], np.int32)
+
+    def of(self, k: int) -> np.ndarray:
+        """By string; 0 for k itself."""
+        at, out = self.place[k], np.zeros(len(self.order), np.int32)
+        out[self.order[at + 1 :]] = np.minimum.accumulate(self.near[at:])
+        out[self.order[:at]] = np.minimum.accumulate(self.near[:at][::-1])[::-1]
+        return out
 
 
 def furthest(contexts: list[tuple[bytes, bytes]]) -> list[tuple[int, int]]:
     """For each context how many bytes before and behind the anchor go; (0, 0) for none."""
-    left, right = shared_lengths([a[::-1] for a, _ in contexts]), shared_lengths([b for _, b in contexts])
-    off = left + right < LENGTH
-    left[off], right[off] = 0, 0
-    return list(zip(left.max(1).tolist(), right.max(1).tolist(), strict=True))
+    left, right = Shared([a[::-1] for a, _ in contexts]), Shared([b for _, b in contexts])
+    out = []
+    for k in range(len(contexts)):
+        a, b = left.of(k), right.of(k)
+        on = a + b >= LENGTH
+        out.append((int(a[on].max()), int(b[on].max())) if on.any() else (0, 0))
+    return out
 
 
 CONTEXTS = "_row long, h long, off int, size long, only boolean, before binary, behind binary"
@@ -216,11 +224,21 @@ CONTEXTS = "_row long, h long, off int, size long, only boolean, before binary,
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["_row", "h", "off", "size", "only", "before", "behind"]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
+    out: list[tuple] = []
+
+    def flushed() -> pa.RecordBatch:
+        made = pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names)
+        out.clear()
+        return made
+
     for b in batches:
-        for row, text, wanted in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            data = text.encode()
-            out = [(row, w["h"], w["off"], w["size"], w["only"], *context(data, w["off"])) for w in wanted]
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names)
+        for row, text, wanted in zip(*b.columns, strict=True):
+            row, data = row.as_py(), text.as_py().encode()
+            for w in wanted.as_py():
+                out.append((row, w["h"], w["off"], w["size"], w["only"], *context(data, w["off"])))
+                if len(out) >= 4000:
+                    yield flushed()
+    yield flushed()
 
 
 def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,7 +269,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data, n = before + behind, len(before) + len(behind) - LENGTH + 1
             keys = [digest(data[k : k + LENGTH]) for k in range(n)]
             starts = np.arange(n) + off - len(before)
-            yield pa.RecordBatch.from_arrays([pa.array([row] * n, pa.int64()), pa.array(starts, pa.int32()), pa.array([only] * n, pa.bool_()), pa.array(keys, pa.int64())], ["_row", "start", "only", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array([row] * n, pa.int64()), pa.array([off] * n, pa.int32()), pa.array(starts, pa.int32()), pa.array([only] * n, pa.bool_()), pa.array(keys, pa.int64())], ["_row", "off", "start", "only", "key"])
 
 
 def repeated(docs: DataFrame, text_col: str) -> DataFrame:
@@ -269,23 +287,22 @@ def repeated(docs: DataFrame, text_col: str) -> DataFrame:
     wanted = mixed.join(sizes, "h").groupBy("_row").agg(F.collect_list(F.struct("h", "off", "size", (F.col("n") == 1).alias("only"))).alias("wanted"))
     shown = written(texts.join(wanted, "_row").mapInArrow(_contexts, CONTEXTS), "context-bytes")
     few = shown.filter(F.col("size") <= GROUP).repartition("h").sortWithinPartitions("h").mapInArrow(_sorted_groups, "_row long, start int, end int")
-    windows = shown.filter(F.col("size") > GROUP).mapInArrow(_windows, "_row long, start int, only boolean, key long")
+    windows = shown.filter(F.col("size") > GROUP).mapInArrow(_windows, "_row long, off int, start int, only boolean, key long")
     windows = written(windows, "windows")
     # Several anchors may show a window at the same place, which counts once.
     apart = (F.min("_row") != F.max("_row")) | (F.min("start") != F.max("start"))
     again = written(windows.groupBy("key").agg(apart.alias("apart")).filter("apart").select("key"), "windows-twice")
-    many = windows.filter("only").join(again, "key").select("_row", "start", (F.col("start") + LENGTH).alias("end"))
+    # All windows of an anchor overlap: the outermost bound what goes.
+    many = windows.filter("only").join(again, "key").groupBy("_row", "off").agg(F.min("start").alias("start"), (F.max("start") + LENGTH).alias("end")).drop("off")
     return full.union(few).union(many)
 
 
-def merged(spans: list[dict], size: int) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for x in sorted((s["start"], min(s["end"], size)) for s in spans):
-        if out and x[0] <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], x[1])
-        else:
-            out.append(list(x))
-    return [(a, b) for a, b in out]
+def merged(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
+    """Overlapping or touching spans as one."""
+    order = np.argsort(start, kind="stable")
+    start, reach = start[order], np.maximum.accumulate(end[order])
+    first = np.flatnonzero(np.r_[True, start[1:] > reach[:-1]])
+    return list(zip(start[first].tolist(), reach[np.r_[first[1:] - 1, len(start) - 1]].tolist(), strict=True))
 
 
 def _remove(with_text: bool):
@@ -293,9 +310,11 @@ def _remove(with_text: bool):
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
         for b in batches:
             out = []
-            for text, spans in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                data = text.encode()
-                gone = merged(spans or [], len(data))
+            for text, spans in zip(b.column(2), b.column(3), strict=True):
+                data, gone = text.as_py().encode(), []
+                if spans.is_valid and len(spans):
+                    start, end = (spans.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                    gone = merged(start, np.minimum(end, len(data)))
                 edges = [0, *[x for g in gone for x in g], len(data)]
                 kept = b"".join(data[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True)) if gone else data
                 out.append((len(data), len(data) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept if with_text else None))
