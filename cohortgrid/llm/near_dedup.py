@@ -11,12 +11,18 @@ connected components of links.
 
 Scale: documents with equal word sequences are one class from the start, summed
 up before any shuffle, so copies never meet in a bucket. Buckets of up to SMALL
-rows give all their pairs; a larger one pairs its rows with one row of it, drawn
-by a hash (a different one in each band), never all with all. Where rows of a
-large bucket are then in different classes, all its rows go through a further
-round of ROUNDS with fresh hashes. Rounds only look at such open buckets. Every
-table that a hot key could hit is written first, so Spark can split it. Words
-travel as 32-bit hashes, only for candidate pairs. Nothing is collected.
+rows give all their pairs; a larger one first pairs its rows with two of them:
+one drawn by a hash (a different one in each band), and the one that stands in
+most large buckets, as the original of many copies does. Where rows of a large
+bucket are then in different classes, all its rows are open, and all pairs of
+open rows in different classes that can reach SIMILAR are verified: such a pair
+shares one of the k-mers in which the two start (rarest first, a fifth of them
+and one more), at a place that leaves enough others. That filter loses no pair,
+so no candidate pair stays unverified unless its rows are in one class already.
+A k-mer of over BLOCK open rows is dealt out by pairs of blocks. Every table that
+a hot key could hit is written first, so Spark can split it. Words travel as
+32-bit hashes, only for open rows and candidate pairs. Collected are the counts
+of hashed k-mers, COUNTED numbers whatever the input.
 
 Cases: null text counts as empty; documents without words are equal if their
 texts are; with fewer than five words, a document is only near to equal ones;
@@ -27,28 +33,31 @@ rows.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, WORD, dropped, row_key, written
 
 K, SIMILAR = 5, 0.8
-#: Bands a round, rounds, and rows of a bucket that are paired all with all.
-BANDS, ROUNDS, SMALL = 20, 3, 8
+#: Bands, and rows of a bucket that are paired all with all at once.
+BANDS, SMALL = 20, 8
 ENTRIES = 2 * BANDS
+#: Counters of hashed k-mers (a power of two), and rows of a shared k-mer that are paired in one group.
+COUNTED, BLOCK = 1 << 18, 256
 
 WORDS = re.compile(WORD)
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _RNG = np.random.default_rng(20)
 POWERS = _RNG.integers(1, 2**63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-SEEDS = _RNG.integers(1, 2**63, (ROUNDS, ENTRIES, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BAND_SALT = _RNG.integers(1, 2**63, (ROUNDS, BANDS), dtype=np.uint64)
+SEEDS = _RNG.integers(1, 2**63, (ENTRIES, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BAND_SALT = _RNG.integers(1, 2**63, BANDS, dtype=np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -84,18 +93,14 @@ def kmers(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bands(words: np.ndarray) -> np.ndarray:
-    """ROUNDS x BANDS hashes."""
+    """BANDS hashes."""
     plain, labelled = kmers(words)
-    out = np.empty((ROUNDS, BANDS), np.uint64)
-    row = np.arange(ENTRIES)
-    for r in range(ROUNDS):
-        order = labelled * SEEDS[r]
-        one = order.argmin(1)
-        order[row, one] = np.uint64(2**64 - 1)
-        two = order.argmin(1)
-        entry = mixed(plain[np.minimum(one, two)] * MIX1 + plain[np.maximum(one, two)])
-        out[r] = mixed(entry[0::2] * MIX2 + entry[1::2] + BAND_SALT[r])
-    return out
+    order = labelled * SEEDS
+    one = order.argmin(1)
+    order[np.arange(ENTRIES), one] = np.uint64(2**64 - 1)
+    two = order.argmin(1)
+    entry = mixed(plain[np.minimum(one, two)] * MIX1 + plain[np.maximum(one, two)])
+    return mixed(entry[0::2] * MIX2 + entry[1::2] + BAND_SALT)
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +113,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digests.append(hashlib.blake2b("\n".join(found).encode() if found else b"\0" + (text or "").encode(), digest_size=16).digest())
             words.append(ids.tobytes())
             sizes.append(len(found))
-            sketches.append(bands(ids).ravel().view(np.int64).tolist() if len(found) >= K else [])
+            sketches.append(bands(ids).view(np.int64).tolist() if len(found) >= K else [])
         yield pa.RecordBatch.from_arrays(
             [b.column(0), b.column(1), pa.array(digests, pa.binary()), pa.array(words, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.list_(pa.int64()))], ["_row", "_id", "digest", "words", "n", "bands"]
         )
@@ -193,20 +198,71 @@ def components(links: DataFrame) -> DataFrame:
             edges = new
 
 
+def close(x: Column, y: Column) -> Column:
+    """Whether the sizes allow the similarity."""
+    return F.least(x, y) - K + 1 >= SIMILAR * (F.greatest(x, y) - K + 1) - 1e-9
+
+
 def candidates(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """members: rep, n, key. Pairs (a, b) to verify, and the large buckets (key, lead)."""
-    draw = F.xxhash64("rep", "key")
-    buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min_by("rep", draw).alias("lead"), F.min_by("n", draw).alias("lead_n")).filter("size > 1")
-    buckets = written(buckets, "buckets")
+    """members: rep, n, key. Pairs (a, b) to verify, and the rows (key, rep) of large buckets."""
+    buckets = written(members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "buckets")
     met = members.join(buckets, "key")
-    close = lambda x, y: F.least(x, y) - K + 1 >= SIMILAR * (F.greatest(x, y) - K + 1)
-    star = met.filter((F.col("size") > SMALL) & (F.col("rep") != F.col("lead")) & close(F.col("n"), F.col("lead_n"))).select("lead", "rep")
+    large = written(met.filter(F.col("size") > SMALL).select("key", "rep", "n"), "large")
+    seen = large.groupBy("rep").agg(F.count(F.lit(1)).alias("seen"))
+    draw = F.xxhash64("rep", "key")
+    row = F.struct("rep", "n")
+    leads = large.join(seen, "rep").groupBy("key").agg(F.array(F.min_by(row, draw), F.max_by(row, F.struct("seen", "rep"))).alias("leads"))
+    star = large.join(written(leads, "leads"), "key").select("rep", "n", F.explode("leads").alias("y")).filter((F.col("rep") != F.col("y.rep")) & close(F.col("n"), F.col("y.n"))).select("rep", "y.rep")
     # At most SMALL rows a list.
     lists = met.filter(F.col("size") <= SMALL).groupBy("key").agg(F.collect_list(F.struct("rep", "n")).alias("all"))
     each = lists.select(F.posexplode("all").alias("i", "x"), "all").select("x", F.explode(F.slice("all", F.col("i") + 2, SMALL)).alias("y"))
     few = each.filter(close(F.col("x.n"), F.col("y.n"))).select("x.rep", "y.rep")
     pairs = star.toDF("x", "y").union(few.toDF("x", "y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return pairs, buckets.filter(F.col("size") > SMALL).select("key", "lead")
+    return written(pairs, "pairs"), large.select("key", "rep")
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(COUNTED, np.int64)
+    for b in batches:
+        for words in b.column(0).to_pylist():
+            np.add.at(counts, kmers(np.frombuffer(words, np.uint32))[1] % np.uint64(COUNTED), 1)
+    held = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(counts[held])], ["h", "n"])
+
+
+def firsts(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The k-mers in which a document starts, rarest first. Of two documents that are similar, at least one is in both's."""
+    labelled = kmers(words)[1]
+    n = len(labelled)
+    order = np.lexsort((labelled, counts[labelled % np.uint64(COUNTED)]))
+    return labelled[order[: n - math.ceil(SIMILAR * n - 1e-9) + 1]]
+
+
+def open_pairs(rows: DataFrame) -> DataFrame:
+    """rows: rep, root, words. All pairs (a, b) of different roots that the sizes, the shared first k-mer and its place allow to be similar."""
+    counts = np.zeros(COUNTED, np.int64)
+    for r in rows.select("words").mapInArrow(_counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).toLocalIterator():
+        counts[r.h] = r.n
+
+    def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rep, root, words in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                ids = np.frombuffer(words, np.uint32)
+                t = firsts(ids, counts)
+                full = lambda x, m=len(t): pa.array(np.full(m, x, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), full(rep), full(root), full(len(ids)), pa.array(np.arange(len(t)))], ["t", "rep", "root", "n", "at"])
+
+    table = written(rows.select("rep", "root", "words").mapInArrow(_firsts, "t long, rep long, root long, n long, at long"), "firsts")
+    shared = table.groupBy("t").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("t", F.ceil(F.col("size") / BLOCK).alias("blocks"))
+    met = table.join(written(shared, "shared"), "t").withColumn("block", F.pmod(F.xxhash64("rep", "t"), "blocks"))
+    # A row meets its own block and every other one.
+    dealt = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    x = dealt.filter("block <= other").select("t", F.col("block").alias("p"), F.col("other").alias("q"), *[F.col(c).alias(f"{c}_x") for c in ("rep", "root", "n", "at")])
+    y = dealt.filter("other <= block").select("t", F.col("other").alias("p"), F.col("block").alias("q"), *[F.col(c).alias(f"{c}_y") for c in ("rep", "root", "n", "at")])
+    left = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y")) - K + 1
+    enough = (1 + SIMILAR) * left >= SIMILAR * (F.col("n_x") + F.col("n_y") - 2 * K + 2) - 1e-6
+    pairs = x.join(y, ["t", "p", "q"]).filter((F.col("root_x") != F.col("root_y")) & ((F.col("p") < F.col("q")) | (F.col("rep_x") < F.col("rep_y"))) & close(F.col("n_x"), F.col("n_y")) & enough)
+    return written(pairs.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct(), "pairs")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -217,32 +273,25 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     same = written(sketch.groupBy("digest").agg(F.min("_row").alias("rep")), "same")
     reps = sketch.select(F.col("_row").alias("rep"), "n", "bands").join(same.select("rep"), "rep").filter(F.col("n") >= K)
-    keys = written(reps.select("rep", "n", F.posexplode("bands").alias("at", "key")), "bands")
-    links, root = None, None
-    members = keys.filter(F.col("at") < BANDS).select("rep", "n", "key")
+    members = written(reps.select("rep", "n", F.explode("bands").alias("key")), "bands")
     words = sketch.select(F.col("_row"), "words")
-    for r in range(ROUNDS):
-        pairs, large = candidates(members)
-        if root is not None:
-            of = lambda c: root.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))  # noqa: B023, E731
-            pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-        pairs = written(pairs, "pairs")
-        told = pairs.join(words.toDF("b", "wb"), "b").join(words.toDF("a", "wa"), "a").select("a", "b", "wa", "wb").mapInArrow(_verify, "a long, b long")
-        found = written(told, "links")
-        links = found if links is None else links.union(found)
-        new = components(links)
-        root, old = new, root
-        if old is not None:
-            dropped(old)
-        if r + 1 == ROUNDS:
-            break
-        # Large buckets whose rows are still in several classes.
-        in_large = members.join(large.select("key"), "key").join(root.select(F.col("node").alias("rep"), "root"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
-        still = in_large.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-        open_reps = written(in_large.join(written(still, "open"), "key").select("rep").distinct(), "open-reps")
-        if open_reps.isEmpty():
-            break
-        members = keys.filter(F.col("at").between((r + 1) * BANDS, (r + 2) * BANDS - 1)).join(open_reps, "rep").select("rep", "n", "key")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        told = pairs.join(words.toDF("b", "wb"), "b").join(words.toDF("a", "wa"), "a").select("a", "b", "wa", "wb")
+        return written(told.mapInArrow(_verify, "a long, b long"), "links")
+
+    pairs, large = candidates(members)
+    links = verified(pairs)
+    root = components(links)
+    # Large buckets whose rows are still in several classes.
+    in_large = large.join(root.select(F.col("node").alias("rep"), "root"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
+    still = in_large.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
+    still = written(in_large.join(written(still, "open"), "key").select("rep", "root").distinct(), "open-rows")
+    if not still.isEmpty():
+        rest = open_pairs(still.join(words.toDF("rep", "words"), "rep"))
+        new = components(links.union(verified(rest)))
+        dropped(root)
+        root = new
     rows = sketch.select("_row", "_id", "digest").join(same, "digest").join(root.select(F.col("node").alias("rep"), "root"), "rep", "left").select("_row", "_id", F.coalesce("root", "rep").alias("root"))
     rows = written(rows, "classes")
     stays = written(rows.groupBy("root").agg(F.max("_id").alias("class_id"), F.coalesce(F.max_by("_row", "_id"), F.min("_row")).alias("_keep"), F.count(F.lit(1)).alias("class_size")), "stays")

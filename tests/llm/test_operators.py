@@ -209,6 +209,57 @@ def test_large_group_of_near_copies_is_one_class(spark):
     assert sorted(r.class_size for r in near_dedup.near_dedup(d).filter("kept").collect()) == [1, 60]
 
 
+@pytest.mark.parametrize("block", [near_dedup.BLOCK, 16])
+def test_large_buckets_miss_no_link_of_brute_force(spark, block, monkeypatch):
+    """One original whose copies are similar to it but not to each other, and rows that share a passage with it."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    texts = []
+    for copies, rest in ((150, 60), (120, 0)):
+        original = [word() for _ in range(600)]
+        texts.append(original)
+        for k in range(copies):
+            copy = list(original)
+            for at in range(k % 7, 600, 50):
+                copy[at + rng.randrange(40)] = word()
+            texts.append(copy)
+        if not rest:  # without the original there are only chains of copies
+            texts.remove(original)
+        texts += [original[:400] + [word() for _ in range(200)] for _ in range(rest)]
+    ids = [np.fromiter(map(near_dedup.WordHashes().__getitem__, t), np.uint32) for t in texts]
+    sets = [near_dedup.kmers(i)[1] for i in ids]
+    root = list(range(len(texts)))
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if top(i) != top(j) and near_dedup.similar(ids[i], ids[j], sets[i], sets[j]):
+                root[top(i)] = top(j)
+    want = sorted(Counter(map(top, range(len(texts)))).values())
+    assert want[-1] == 151
+    out = near_dedup.near_dedup(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string"))
+    assert sorted(r.class_size for r in out.filter("kept").collect()) == want
+
+
+def test_first_kmers_lose_no_similar_pair():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        a = rng.integers(0, 2**32, rng.integers(near_dedup.K, 200), dtype=np.uint32)
+        b = a.copy()
+        b[rng.integers(0, len(a), rng.integers(0, 1 + len(a) // 15))] += 1
+        b = b[: max(near_dedup.K, len(b) - rng.integers(0, 1 + len(b) // 20))]
+        counts = rng.integers(0, 4, near_dedup.COUNTED)
+        x, y = (near_dedup.kmers(w)[1] for w in (a, b))
+        both = len(np.intersect1d(x, y))
+        if both >= near_dedup.SIMILAR * (len(x) + len(y) - both):
+            assert len(np.intersect1d(near_dedup.firsts(a, counts), near_dedup.firsts(b, counts)))
+
+
 def test_edit_distance():
     def plain(a, b):
         row = list(range(len(b) + 1))
