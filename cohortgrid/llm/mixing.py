@@ -4,15 +4,15 @@
    labels: documents labelled toxic, of high and of low quality. Word weights are
    shrunk towards the corpus, so that rare buckets say little.
 2. It gives every document posteriors over the domains, to STEP.
-3. Projected gradient descent fits document rates r >= 0 so that the expected
+3. Newton's method on the dual problem fits document rates r >= 0 so that the expected
    tokens of each domain, sum over documents of r * tokens * posterior, meet the
    targets in least squares, with a small pull towards r = 1.
 
 Rates depend on a document only through its posteriors, so documents with equal
 posteriors are summed up first: at most (1/STEP + 1)(1/STEP + 2)/2 rows whatever
-the input, on which the descent runs; each of its steps is one aggregate of three
-numbers. In the metric of tokens, and with residuals relative to the domains'
-tokens, the step size is known (the operator's norm is 1).
+the input. At the optimum r = max(0, 1 - sum of p * u / RIDGE), where u holds each
+domain's residual relative to its tokens: three numbers, found to TOLERANCE, each
+step being one aggregate. If they are not found, that is an error.
 
 Scale: words are exploded and summed within their task, so one narrow row per
 document is shuffled. Broadcast are the word table, BUCKETS rows, and at most
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +40,8 @@ TARGETS = {"high": 0.94, "low": 0.05, "toxic": 0.01}
 #: Labelled documents that the classifier is fitted on at most; buckets of hashed words; weight of the corpus in a bucket's shrinkage, in documents; different words from which the evidence is tempered.
 MAX_LABELLED, BUCKETS, SHRINK, TEMPER = 20_000, 65_536, 3.0, 128
 STEP = 0.001
-#: Pull towards rate 1, steps of the descent, and the largest residual (share of the target) at which it ends.
-RIDGE, STEPS, ENOUGH = 0.001, 40, 0.005
+#: Pull towards rate 1, the largest gradient (share of a domain's tokens) at the optimum, and evaluations after which the fit has failed.
+RIDGE, TOLERANCE, TRIES = 0.001, 1e-8, 200
 
 
 def words_of(docs: DataFrame, text_col: str, *keep: Column) -> DataFrame:
@@ -85,23 +86,40 @@ def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
 
 def descent(found: DataFrame, targets: dict[str, float]) -> Column:
-    """The rate of a document as an expression of its posteriors: the steps taken, one in another."""
+    """The rate of a document as an expression of its posteriors, at the optimum."""
     keys = [f"p_{d}" for d in DOMAINS]
     cells = written(found.groupBy(*keys).agg(F.sum("n_tokens").alias("n")), "cells")
-    totals = lambda rate: cells.agg(*[F.coalesce(F.sum(F.col("n") * F.col(k) * rate), F.lit(0.0)).alias(k) for k in keys]).first()
-    have = totals(F.lit(1.0))
+    sums = lambda *cols: [float(x or 0) for x in cells.agg(*[F.sum(F.col("n") * c).alias(f"_{k}") for k, c in enumerate(cols)]).first()]
+    have = sums(*map(F.col, keys))
     anchor = max(targets, key=targets.get)
-    budget = have[f"p_{anchor}"] / targets[anchor]
-    # The gradient's Lipschitz constant is 1 + RIDGE; steps below 2 over that descend.
-    rate, eta = F.lit(1.0), 1.8 / (1 + RIDGE)
-    for _ in range(STEPS):
-        now = totals(rate)
-        off = {d: now[f"p_{d}"] - targets.get(d, 0.0) * budget for d in DOMAINS}
-        if all(abs(x) <= ENOUGH * max(targets.get(d, 0.0) * budget, 1.0) for d, x in off.items()):
-            break
-        slope = reduce(Column.__add__, [F.col(f"p_{d}") * (eta * x / max(have[f"p_{d}"], 1.0)) for d, x in off.items()])
-        rate = F.greatest(F.lit(0.0), rate * (1 - eta * RIDGE) + eta * RIDGE - slope)
-    return rate
+    budget, every = have[DOMAINS.index(anchor)] / targets[anchor], max(sum(have), 1.0)
+    own = np.maximum(have, 1.0) / every
+    want = np.array([targets.get(d, 0.0) * budget for d in DOMAINS]) / every
+
+    def rate(u: np.ndarray) -> Column:
+        return F.greatest(F.lit(0.0), 1 - reduce(Column.__add__, [F.col(k) * float(x / RIDGE) for k, x in zip(keys, u, strict=True)]))
+
+    def at(u: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """The dual function's value, gradient and Hessian."""
+        r, used = rate(u), (rate(u) > 0).cast("double")
+        pairs = [F.col(x) * F.col(y) * used for x in keys for y in keys]
+        got = np.array(sums(r * r, *[F.col(k) * r for k in keys], *pairs)) / every
+        return (own @ u**2 + RIDGE * got[0]) / 2 + want @ u, own * u + want - got[1:4], np.diag(own) + got[4:].reshape(3, 3) / RIDGE
+
+    u = np.zeros(len(DOMAINS))
+    value, slope, bend = at(u)
+    step, size = None, 1.0
+    for _ in range(TRIES):
+        if np.all(np.abs(slope) <= TOLERANCE * own):
+            return rate(u)
+        if step is None:
+            step, size = -np.linalg.solve(bend, slope), 1.0
+        new = at(u + size * step)
+        if new[0] <= value + 1e-4 * size * (slope @ step) + 1e-14 * abs(value):
+            u, (value, slope, bend), step = u + size * step, new, None
+        else:
+            size /= 2
+    raise ValueError(f"ERROR: mixing rates did not converge: gradient {slope.tolist()}")
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -385,3 +385,22 @@ def test_mixing_meets_targets(spark, docs, empty):
     # The descent by itself, against plain least squares over the same posteriors.
     assert {r.doc_id for r in out.values()} == set(range(600))
     assert F is not None
+
+
+@pytest.mark.parametrize("spread", [0.01, 0.2])
+def test_mixing_rates_are_the_optimum(spark, spread):
+    """Against accelerated projected gradients, on posteriors that hardly tell the domains apart."""
+    rng = np.random.default_rng(4)
+    low, toxic = np.clip(rng.normal(0.127, spread, 300), 0, 0.5).round(3), np.clip(rng.normal(0.113, 3 * spread, 300), 0, 0.5).round(3)
+    p, n = np.stack([1 - low - toxic, low, toxic], 1), rng.integers(20, 2000, 300)
+    found = spark.createDataFrame([(*map(float, x), int(m)) for x, m in zip(p, n, strict=True)], "p_high double, p_low double, p_toxic double, n_tokens long")
+    out = found.withColumn("rate", mixing.descent(found, mixing.TARGETS)).collect()
+    have = n @ p
+    want = np.array([mixing.TARGETS[d] for d in mixing.DOMAINS]) * have[0] / mixing.TARGETS["high"]
+    r = ahead = np.ones(300)
+    for k in range(30_000):
+        new = np.maximum(0, ahead - (p @ (((ahead * n) @ p - want) / have) + mixing.RIDGE * (ahead - 1)) / (1 + mixing.RIDGE))
+        ahead = new + (new - r) * (1 - mixing.RIDGE**0.5) / (1 + mixing.RIDGE**0.5)
+        r = new
+    best = {tuple(x): y for x, y in zip(p.tolist(), r, strict=True)}
+    assert all(x.rate == pytest.approx(best[x.p_high, x.p_low, x.p_toxic], abs=1e-3) for x in out)
