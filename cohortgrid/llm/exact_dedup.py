@@ -24,21 +24,21 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, dropped, row_key, written
+from .common import ascii_lower, dropped, keyed, written
 
 #: Bytes a level takes; the last width holds for all further levels.
 WIDTHS = (64, 256, 1024, 4096, 16384, 65536, 262144)
 
 
-def exact_groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows of groups of two or more: _row, keep_id, _keep (the row that stays), group_size."""
+def exact_groups(docs: DataFrame) -> DataFrame:
+    """docs: _row, _id, _t. Rows of groups of two or more: _row, keep_id, _keep (the row that stays), group_size."""
     # A-Z are single bytes in UTF-8, so a run of bytes can be lower-cased without the rest, as Latin-1.
-    raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    raw = F.coalesce("_t", F.lit("")).cast("binary")
     alive, ended, level, start = None, [], 0, 0
     while True:
         width = WIDTHS[min(level, len(WIDTHS) - 1)]
         run = F.encode(ascii_lower(F.decode(F.substring(raw, start + 1, width), "ISO-8859-1")), "ISO-8859-1")
-        rows = docs.select(row_key().alias("_row"), F.col(id_col).alias("_id"), F.col(text_col)).filter(F.octet_length(raw) >= start).select("_row", "_id", run.alias("_bytes"))
+        rows = docs.filter(F.octet_length(raw) >= start).select("_row", "_id", run.alias("_bytes"))
         rows = rows.withColumn("_group", F.lit(0).cast("long")) if alive is None else rows.join(alive, "_row")
         if alive is not None:
             rows = written(rows, "radix-rows")
@@ -60,9 +60,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     One row of each group is kept; of rows that share the largest id, any one.
     """
-    text = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    found = exact_groups(docs, id_col, text_col)
-    every = docs.select(row_key().alias("_row"), F.col(id_col).alias("_id"), F.sha2(F.encode(text, "UTF-8"), 256).alias("text_sha256"))
+    rows = keyed(docs, _id=F.col(id_col), _t=F.col(text_col))
+    found = exact_groups(rows)
+    every = rows.select("_row", "_id", F.sha2(F.encode(ascii_lower(F.coalesce("_t", F.lit(""))), "UTF-8"), 256).alias("text_sha256"))
     return every.join(found, "_row", "left").select(
         "_row",
         F.col("_id").alias(id_col),

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WORD, dropped, row_key, written
+from .common import LOWER, WORD, dropped, keyed, written
 
 K, SIMILAR = 5, 0.8
 #: Bands, and rows of a bucket that are paired all with all at once.
@@ -67,10 +67,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """Word to 32-bit hash, remembered for up to 400,000 words."""
+    """Word to 32-bit hash, remembered for up to 100,000 words."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh32_intdigest(word)
         return h
@@ -106,17 +106,18 @@ def bands(words: np.ndarray) -> np.ndarray:
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = WordHashes()
     for b in batches:
-        digests, words, sizes, sketches = [], [], [], []
-        for text in b.column(2).to_pylist():
-            found = WORDS.findall((text or "").translate(LOWER))
+        digests, words, sizes, sketches, none = [], [], [], [], np.empty(0, np.int64)
+        for value in b.column(2):  # one text in memory at a time
+            text = value.as_py() or ""
+            found = WORDS.findall(text.translate(LOWER))
             ids = np.fromiter(map(known.__getitem__, found), np.uint32, len(found))
-            digests.append(hashlib.blake2b("\n".join(found).encode() if found else b"\0" + (text or "").encode(), digest_size=16).digest())
+            digests.append(hashlib.blake2b("\n".join(found).encode() if found else b"\0" + text.encode(), digest_size=16).digest())
             words.append(ids.tobytes())
             sizes.append(len(found))
-            sketches.append(bands(ids).view(np.int64).tolist() if len(found) >= K else [])
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(1), pa.array(digests, pa.binary()), pa.array(words, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.list_(pa.int64()))], ["_row", "_id", "digest", "words", "n", "bands"]
-        )
+            sketches.append(bands(ids).view(np.int64) if len(found) >= K else none)
+        ends = np.cumsum([0, *map(len, sketches)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([none, *sketches])))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digests, pa.binary()), pa.array(words, pa.binary()), pa.array(sizes, pa.int32()), lists], ["_row", "_id", "digest", "words", "n", "bands"])
 
 
 def slide(a: np.ndarray, b: np.ndarray, i: int, j: int) -> int:
@@ -166,11 +167,11 @@ def similar(a: np.ndarray, b: np.ndarray, a_kmers: np.ndarray, b_kmers: np.ndarr
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         links, last = [], (None, None, None)
-        for x, y, wx, wy in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for x, y, wx, wy in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
             if last[0] != x:
-                ids = np.frombuffer(wx, np.uint32)
+                ids = np.frombuffer(wx.as_py(), np.uint32)
                 last = (x, ids, kmers(ids)[1])
-            ids = np.frombuffer(wy, np.uint32)
+            ids = np.frombuffer(wy.as_py(), np.uint32)
             if similar(last[1], ids, last[2], kmers(ids)[1]):
                 links.append((x, y))
         yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], ["a", "b"])
@@ -224,8 +225,8 @@ def candidates(members: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(COUNTED, np.int64)
     for b in batches:
-        for words in b.column(0).to_pylist():
-            np.add.at(counts, kmers(np.frombuffer(words, np.uint32))[1] % np.uint64(COUNTED), 1)
+        for words in b.column(0):
+            np.add.at(counts, kmers(np.frombuffer(words.as_py(), np.uint32))[1] % np.uint64(COUNTED), 1)
     held = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(counts[held])], ["h", "n"])
 
@@ -246,8 +247,8 @@ def open_pairs(rows: DataFrame) -> DataFrame:
 
     def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for rep, root, words in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                ids = np.frombuffer(words, np.uint32)
+            for rep, root, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                ids = np.frombuffer(words.as_py(), np.uint32)
                 t = firsts(ids, counts)
                 full = lambda x, m=len(t): pa.array(np.full(m, x, np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), full(rep), full(root), full(len(ids)), pa.array(np.arange(len(t)))], ["t", "rep", "root", "n", "at"])
@@ -269,7 +270,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row per document: _row, id, class_id (largest id of its class, whose row is the one kept), class_size, kept."""
     kind = dict(docs.dtypes)[id_col]
     sketch = written(
-        docs.select(row_key().alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).mapInArrow(_sketch, f"_row long, _id {kind}, digest binary, words binary, n int, bands array<long>"), "sketch"
+        keyed(docs, _id=F.col(id_col), _t=F.col(text_col)).mapInArrow(_sketch, f"_row long, _id {kind}, digest binary, words binary, n int, bands array<long>"), "sketch"
     )
     same = written(sketch.groupBy("digest").agg(F.min("_row").alias("rep")), "same")
     reps = sketch.select(F.col("_row").alias("rep"), "n", "bands").join(same.select("rep"), "rep").filter(F.col("n") >= K)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, written
+from .common import keyed, written
 
 MIN_WORDS, MAX_REPEAT_PCT = 50, 50
 #: A host whose shrunk failure rate is above this loses its other documents too.
@@ -71,7 +71,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """Per row: _row, id, the five counts, base_failed, host, host_rate (shrunk), kept."""
     kind = dict(docs.dtypes)[id_col]
-    found = docs.select(row_key().alias("_row"), F.col(id_col).alias("_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("\0null")).alias("_host"), F.col(text_col).alias("_t")).mapInArrow(
+    found = keyed(docs, _id=F.col(id_col), _host=F.coalesce(F.col(host_col).cast("string"), F.lit("\0null")), _t=F.col(text_col)).mapInArrow(
         _measure, f"_row long, _id {kind}, _host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words"))

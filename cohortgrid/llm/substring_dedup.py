@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, written
+from .common import keyed, written
 
 LENGTH, KMER = 400, 80
 #: k-mers in a window, and so how far before its anchor a window can start.
@@ -272,9 +272,8 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([row] * n, pa.int64()), pa.array([off] * n, pa.int32()), pa.array(starts, pa.int32()), pa.array([only] * n, pa.bool_()), pa.array(keys, pa.int64())], ["_row", "off", "start", "only", "key"])
 
 
-def repeated(docs: DataFrame, text_col: str) -> DataFrame:
-    """_row, start, end: bytes that go, from each anchor's point of view; they overlap."""
-    texts = docs.select(row_key().alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+def repeated(texts: DataFrame) -> DataFrame:
+    """texts: _row, _t. _row, start, end: bytes that go, from each anchor's point of view; they overlap."""
     found = written(texts.mapInArrow(_scan, "_row long, h long, c long, offs array<int>"), "anchors")
     groups = found.groupBy("h").agg(F.sum(F.size("offs")).alias("n"), (F.min("c") != F.max("c")).alias("mixed")).filter("n > 1").select("h", "mixed")
     twice = written(found.join(written(groups, "kmers"), "h"), "anchors-twice")
@@ -326,8 +325,8 @@ def _remove(with_text: bool):
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """Per row: _row, id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes, if asked for)."""
     kind = dict(docs.dtypes)[id_col]
+    texts = keyed(docs, _id=F.col(id_col), _t=F.coalesce(F.col(text_col), F.lit("")))
     # A document's spans are at most its anchors.
-    spans = repeated(docs, text_col).groupBy("_row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    texts = docs.select(row_key().alias("_row"), F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+    spans = repeated(texts.select("_row", "_t")).groupBy("_row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     out = texts.join(spans, "_row", "left").select("_row", "_id", "_t", "spans").mapInArrow(_remove(with_text), f"_row long, _id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out.withColumnRenamed("_id", id_col)
