@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .license_scan import MERGE, notice_grams
+from .license_scan import APART, MERGE, MIN_SIMILAR, notice_grams
 from .quality_rules import HOST_LIMIT, MAX_PRIOR, MIN_PRIOR
 from .warc import MIN_REVISIT
 
@@ -11,16 +11,22 @@ FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijk
 
 def license_sql() -> str:
     text = lambda s: "NULL" if s is None else f"'{s}'"
-    rows = ", ".join(f"({n}, {text(label)}, {base}, {grams}, {need}, {pos}, '{gram[0]}', '{gram[1]}')" for n, label, base, grams, need, pos, gram in notice_grams())
-    return f"""WITH t(template, label, base, grams, need, t_pos, a, b) AS (VALUES {rows}),
+    rows = ", ".join(f"({n}, {text(label)}, {base}, {grams}, {need}, '{letters}', {pos}, '{gram[0]}', '{gram[1]}')" for n, label, base, grams, need, letters, pos, gram in notice_grams())
+    return f"""WITH t(template, label, base, grams, need, letters, t_pos, a, b) AS (VALUES {rows}),
  d AS (SELECT doc_id, regexp_extract_all({FOLD}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
  p AS (SELECT doc_id, i - 1 AS pos, w[i] AS a, w[i + 1] AS b FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM d)),
- v AS (SELECT doc_id, template, label, base, grams, need, pos - t_pos AS diagonal, count(*) AS votes FROM p JOIN t USING (a, b) GROUP BY ALL),
- o AS (SELECT *, coalesce(CAST(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > CASE WHEN need < grams THEN {MERGE} ELSE 0 END AS INT), 1) AS opens FROM v),
- s AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM o),
- f AS (SELECT doc_id, template, label, base, grams, least(sum(votes), grams) AS votes, min(diagonal) AS start FROM s GROUP BY doc_id, template, label, base, grams, need, span HAVING least(sum(votes), grams) >= need),
- r AS (SELECT doc_id, count(*) FILTER (WHERE base) AS n_base, min(start) FILTER (WHERE base) AS first_word, max(start) FILTER (WHERE base) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels,
-  string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(votes / grams) AS score, count(*) AS n_spans FROM f GROUP BY doc_id)
+ h AS (SELECT doc_id, template, pos, t_pos, pos - t_pos AS diagonal, substr(letters, t_pos + 1, 1) AS letter FROM p JOIN t USING (a, b)),
+ n AS (SELECT DISTINCT template, label, base, grams, need, letters FROM t),
+ v AS (SELECT doc_id, template, diagonal, count(*) AS own FROM h GROUP BY ALL),
+ c AS (SELECT doc_id, template, x.diagonal, any_value(x.own) AS own, sum(y.own) AS around FROM v x JOIN v y USING (doc_id, template) WHERE abs(x.diagonal - y.diagonal) <= {MERGE} GROUP BY ALL),
+ e AS (SELECT c.*, n.* EXCLUDE template FROM c JOIN n USING (template) WHERE CASE WHEN need < grams THEN around ELSE own END >= need),
+ g AS (SELECT DISTINCT e.doc_id, e.template, e.diagonal, h.pos, h.letter FROM e JOIN h ON h.doc_id = e.doc_id AND h.template = e.template AND abs(h.diagonal - e.diagonal) <= {MERGE} AND h.pos >= e.diagonal AND h.pos < e.diagonal + e.grams WHERE e.need < e.grams),
+ s AS (SELECT doc_id, template, diagonal, string_agg(letter, '' ORDER BY pos) AS seen FROM g GROUP BY ALL),
+ q AS (SELECT e.*, CASE WHEN need < grams THEN 1 - levenshtein(seen, letters) / grams ELSE 1.0 END AS sim FROM e LEFT JOIN s USING (doc_id, template, diagonal)),
+ k AS (SELECT * FROM q WHERE sim >= {MIN_SIMILAR}),
+ f AS (SELECT * FROM k x WHERE need = grams OR NOT EXISTS (SELECT 1 FROM k y WHERE y.doc_id = x.doc_id AND y.template = x.template AND abs(y.diagonal - x.diagonal) <= {APART} AND (y.sim > x.sim OR y.sim = x.sim AND y.diagonal < x.diagonal))),
+ r AS (SELECT doc_id, count(*) FILTER (WHERE base) AS n_base, min(diagonal) FILTER (WHERE base) AS first_word, max(diagonal) FILTER (WHERE base) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels,
+  string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(sim) AS score, count(*) AS n_spans FROM f GROUP BY doc_id)
  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score, coalesce(n_spans, 0) AS n_spans FROM d LEFT JOIN r USING (doc_id)"""
 
 
