@@ -80,9 +80,11 @@ def render(role: str, text: str) -> tuple[str, int, int]:
 
 def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        made = [render(r or "", t or "") for r, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-        loss = [r == "assistant" for r in b.column(2).to_pylist()]
-        cols = [pa.array([m[0] for m in made], pa.string()), pa.array([m[1] if x else None for m, x in zip(made, loss, strict=True)], pa.int32()), pa.array([m[2] if x else None for m, x in zip(made, loss, strict=True)], pa.int32())]
+        made = []
+        for role, text in zip(b.column(2), b.column(3), strict=True):  # one turn in memory at a time, beside the output
+            out, *mask = render(role.as_py() or "", text.as_py() or "")
+            made.append((out, *(mask if role.as_py() == "assistant" else (None, None))))
+        cols = [pa.array([m[k] for m in made], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int32()))]
         yield pa.RecordBatch.from_arrays([*b.columns, *cols], ["conv_id", "turn", "role", "text", "formatted", "loss_start", "loss_end"])
 
 
@@ -95,18 +97,22 @@ def format_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 
 
 class _Reader:
-    """Reads one conversation's formatted turns back."""
+    """Reads one conversation's formatted turns back: turns by the grammar, what is trained on under the loss mask."""
 
     def __init__(self) -> None:
         self.turns, self.loss, self.n, self.loss_chars, self.chars = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
 
-    def feed(self, formatted: str) -> None:
-        for role, text in parse(formatted) or ():
+    def feed(self, formatted: str, start: int | None, end: int | None) -> None:
+        found = parse(formatted)
+        if found is None:
+            raise ValueError(f"a formatted turn isn't in the grammar: {formatted[:120]!r}")
+        for role, text in found:
             self.turns.update(f"{role}\n{text}\n".encode())
             self.n += 1
-            if role == "assistant":
-                self.loss.update(text.encode())
-                self.loss_chars += len(text)
+        if start is not None:
+            text = unescape(formatted[start:end])
+            self.loss.update(text.encode())
+            self.loss_chars += len(text)
         self.chars += len(formatted)
 
     def row(self) -> tuple:
@@ -125,12 +131,12 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         kind = b.schema.field(0).type
-        for conv, formatted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for conv, formatted, *mask in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
             if reader is None or conv != now:
                 if reader is not None:
                     done.append((now, *reader.row()))
                 now, reader = conv, _Reader()
-            reader.feed(formatted)
+            reader.feed(formatted.as_py(), *mask)
         if len(done) >= 2000:
             yield out()
     if reader is not None:
@@ -140,7 +146,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Per conversation, from its formatted turns alone: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
+    """Per conversation, from its formatted turns and their loss mask alone: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars. A turn outside the grammar stops the run."""
     kind = dict(formatted.dtypes)["conv_id"]
-    ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "formatted")
+    ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "formatted", "loss_start", "loss_end")
     return ordered.mapInArrow(_read, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
