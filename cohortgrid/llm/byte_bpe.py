@@ -1,16 +1,18 @@
 """Byte-level BPE encoding and decoding by overlapping chunks.
 
-A text is cut into chunks that overlap. Each chunk is pre-tokenised and encoded
-by itself, starting wherever the cut fell. The pattern never looks back, so from
-any position where two neighbouring chunks both begin a pre-token they agree;
-they are stitched at the first such position of their overlap. Where an overlap
-has none (one pre-token longer than the overlap), the document is encoded whole
-instead. Decoding concatenates the tokens' bytes.
-
-Scale: documents of one chunk (nearly all) are done where they are read. Chunks
-of longer ones are spread over the tasks, and only their ids are brought
-together, in order, as a stream. Pre-tokens' ids are remembered in a bounded
-table. Ranks are read on each executor from the file named by the parameter.
+Every text is cut into chunks of CHUNK code points that read OVERLAP further on.
+Each chunk is pre-tokenised and its pieces encoded by itself, starting wherever
+the cut fell. The pattern never looks back, so from any position where two
+neighbouring chunks both begin a pre-token they agree; they are stitched at the
+first such position of their overlap. Where an overlap has none (one pre-token
+longer than the overlap), the document is encoded whole instead. Decoding
+concatenates the tokens' bytes.
+
+Scale: a text of up to LONG code points has its chunks encoded and stitched in
+the task that reads it. Chunks of longer ones are spread over the tasks, and only
+their ids and the pre-token ends of their overlaps are brought together, in
+order, as a stream. Pre-tokens' ids are remembered in a bounded table. The file
+of ranks is sent along by Spark (addFile).
 
 Cases: null text counts as empty: no tokens, digests of nothing; repeated rows
 each get their row; an empty table gives no rows; other columns are not looked at.
@@ -22,23 +24,25 @@ import base64
 import hashlib
 import struct
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
+from pathlib import PurePath
 
 import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, written
+from .common import keyed, written
 
-#: Code points a chunk advances, and how far it reads on into the next.
-CHUNK, OVERLAP = 40_000, 2_000
+#: Code points a chunk advances, and how far it reads on into the next; code points from which a text's chunks are spread.
+CHUNK, OVERLAP, LONG = 4_000, 400, 40_000
 #: What a pre-token's end may depend on behind it (the longest contraction).
 LOOK = 4
 #: Pre-tokens whose ids a worker remembers.
-REMEMBER = 300_000
+REMEMBER = 150_000
 
 #: What encoding returns, with the input's own columns _row and _id.
 OUT = "_row long, _id {}, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -49,6 +53,7 @@ class Coder(dict):
     """Pre-token to its ids, as little-endian unsigned 32-bit integers."""
 
     def __init__(self, ranks_path: str, pattern: str) -> None:
+        """ranks_path: a local file."""
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.core = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
@@ -72,37 +77,24 @@ class Coder(dict):
 
 
 @cache
-def coder(ranks_path: str, pattern: str) -> Coder:
-    return Coder(ranks_path, pattern)
+def coder(ranks: str, pattern: str) -> Coder:
+    """ranks: a file that addFile() has sent."""
+    return Coder(SparkFiles.get(ranks), pattern)
 
 
-def _whole(ranks_path: str, pattern: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = coder(ranks_path, pattern)
-        for b in batches:
-            ids = [own.encode(x or "") for x in b.column(2).to_pylist()]
-            cols = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(own.decode(x)).hexdigest() for x in ids])]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], NAMES)
-
-    return run
-
-
-def _chunks(ranks_path: str, pattern: str):
-    """Per chunk: the ids, and after each pre-token its end (in the document) and the ids so far."""
+def n_chunks(n: int) -> int:
+    """Chunks of a text of n code points."""
+    return max(1, -((OVERLAP - n) // CHUNK))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = coder(ranks_path, pattern)
-        for b in batches:
-            out = []
-            for at, text in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                pieces = own.split.findall(text)
-                ids = [own[p] for p in pieces]
-                ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces))) + at * CHUNK
-                counts = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) // 4
-                out.append((b"".join(ids), ends.tobytes(), counts.tobytes(), at * CHUNK + len(text)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *[pa.array([o[k] for o in out], pa.binary()) for k in range(3)], pa.array([o[3] for o in out], pa.int64())], ["_row", "_id", "at", "ids", "ends", "counts", "upto"])
 
-    return run
+def coded(own: Coder, text: str) -> tuple[bytes, bytes, bytes, int]:
+    """A chunk's ids; of the pre-tokens that end in its overlaps the ends (from the chunk's start) and the ids so far; where its last run of white space begins, as the text may go on with more."""
+    pieces = own.split.findall(text)
+    ids = [own[p] for p in pieces]
+    ends = np.cumsum(np.fromiter(map(len, pieces), np.int32, len(pieces)), dtype=np.int32)
+    counts = np.cumsum(np.fromiter(map(len, ids), np.int32, len(ids)), dtype=np.int32) // 4
+    near = (ends <= OVERLAP) | (ends >= CHUNK)
+    return b"".join(ids), ends[near].astype("<i4").tobytes(), counts[near].astype("<i4").tobytes(), len(text.rstrip())
 
 
 class Stitcher:
@@ -112,23 +104,26 @@ class Stitcher:
         self.own, self.ids, self.decoded, self.n = own, hashlib.sha256(), hashlib.sha256(), 0
         self.start, self.held, self.failed = 0, None, False
 
-    def _emit(self, chunk: tuple, stop: int | None) -> None:
-        ids, ends, counts, _ = chunk
-        a = 0 if self.start is None else self.start
-        b = len(ids) // 4 if stop is None else int(counts[np.searchsorted(ends, stop)])
-        part = ids[4 * a : 4 * b]
+    def _emit(self, stop: int | None) -> None:
+        part = self.held[0][4 * self.start : None if stop is None else 4 * stop]
         self.ids.update(part)
         self.decoded.update(self.own.decode(part))
-        self.n += b - a
+        self.n += len(part) // 4
 
     def feed(self, ids: bytes, ends: bytes, counts: bytes, upto: int) -> None:
-        chunk = (ids, np.frombuffer(ends, np.int64), np.frombuffer(counts, np.int64), upto)
+        chunk = (ids, np.frombuffer(ends, "<i4"), np.frombuffer(counts, "<i4"), upto)
         if self.held is not None and not self.failed:
-            old = self.held[1][self.held[1] <= self.held[3] - LOOK]
-            both = np.intersect1d(old, chunk[1], assume_unique=True)
-            if len(both):
-                self._emit(self.held, int(both[0]))
-                self.start = int(chunk[2][np.searchsorted(chunk[1], both[0])])
+            # Ends in this chunk's count; the old chunk's last ends may be due to its cut.
+            _, ends, counts, upto = self.held
+            sure = (ends >= CHUNK) & (ends <= upto - LOOK)
+            _, a, b = np.intersect1d(ends[sure] - CHUNK, chunk[1], assume_unique=True, return_indices=True)
+            here = np.flatnonzero(sure & (ends == CHUNK))
+            if len(here):  # both begin a pre-token where this chunk begins
+                self._emit(int(counts[here[0]]))
+                self.start = 0
+            elif len(a):
+                self._emit(int(counts[sure][a[0]]))
+                self.start = int(chunk[2][b[0]])
             else:
                 self.failed = True
         self.held = chunk
@@ -136,13 +131,49 @@ class Stitcher:
     def row(self) -> tuple:
         if self.failed:
             return None, None, None
-        self._emit(self.held, None)
+        self._emit(None)
         return self.n, self.ids.hexdigest(), self.decoded.hexdigest()
 
 
-def _stitch(ranks_path: str, pattern: str):
+def whole(own: Coder, text: str) -> tuple:
+    """Without chunks."""
+    ids = own.encode(text)
+    return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()
+
+
+def stitched(own: Coder, text: str) -> tuple:
+    """All chunks of a text, and the text as a whole where they don't resynchronise."""
+    doc = Stitcher(own)
+    for k in range(n_chunks(len(text))):
+        doc.feed(*coded(own, text[k * CHUNK : (k + 1) * CHUNK + OVERLAP]))
+    return whole(own, text) if doc.failed else doc.row()
+
+
+def _texts(encode, ranks: str, pattern: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = coder(ranks, pattern)
+        for b in batches:
+            out = [encode(own, x.as_py()) for x in b.column(2)]
+            cols = [pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], NAMES)
+
+    return run
+
+
+def _chunks(ranks: str, pattern: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = coder(ranks, pattern)
+        for b in batches:
+            out = [coded(own, x.as_py()) for x in b.column(3)]
+            cols = [pa.array([o[k] for o in out], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.binary(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *cols], ["_row", "_id", "at", "ids", "ends", "counts", "upto"])
+
+    return run
+
+
+def _stitch(ranks: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, now, doc, done, kind = coder(ranks_path, pattern), None, None, [], pa.int64()
+        own, now, doc, done, kind = coder(ranks, pattern), None, None, [], pa.int64()
         for b in batches:
             kind = b.schema.field(1).type
             for k in range(b.num_rows):
@@ -161,17 +192,19 @@ def _stitch(ranks_path: str, pattern: str):
 
 
 def byte_bpe(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_tokens, ids_sha256, decoded_sha256."""
-    text, kind = F.coalesce(F.col(text_col), F.lit("")), dict(docs.dtypes)[id_col]
-    rows = docs.select(row_key().alias("_row"), F.col(id_col).alias("_id"), text.alias("_t"))
-    short, long = rows.filter(F.length("_t") <= CHUNK + OVERLAP), rows.filter(F.length("_t") > CHUNK + OVERLAP)
-    last = F.floor((F.length("_t") - OVERLAP - 1) / CHUNK).cast("int")
+    """Per row: id, n_tokens, ids_sha256, decoded_sha256. ranks_path: a file that the driver can read."""
+    docs.sparkSession.sparkContext.addFile(ranks_path)
+    ranks, kind = PurePath(ranks_path).name, dict(docs.dtypes)[id_col]
+    rows = keyed(docs, _id=F.col(id_col), _t=F.coalesce(F.col(text_col), F.lit("")))
+    short, long = rows.filter(F.length("_t") <= LONG), rows.filter(F.length("_t") > LONG)
+    last = F.ceil((F.length("_t") - OVERLAP) / CHUNK).cast("int") - 1
     cuts = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("at"), F.substring("_t", i * CHUNK + 1, F.lit(CHUNK + OVERLAP)).alias("chunk")))
     chunks = long.select("_row", "_id", F.inline(cuts)).repartition("_row", "at")
-    coded = chunks.mapInArrow(_chunks(ranks_path, pattern), f"_row long, _id {kind}, at int, ids binary, ends binary, counts binary, upto long")
-    ordered = coded.repartition("_row").sortWithinPartitions("_row", "at")
-    stitched = written(ordered.mapInArrow(_stitch(ranks_path, pattern), OUT.format(kind)), "bpe-long")
-    again = stitched.filter("n_tokens is null").select("_row")
-    whole = short if again.isEmpty() else short.union(long.join(again, "_row", "left_semi"))
-    done = whole.mapInArrow(_whole(ranks_path, pattern), OUT.format(kind)).union(stitched.filter("n_tokens is not null"))
-    return done.select(F.col("_id").alias(id_col), "n_tokens", "ids_sha256", "decoded_sha256")
+    parts = chunks.mapInArrow(_chunks(ranks, pattern), f"_row long, _id {kind}, at int, ids binary, ends binary, counts binary, upto long")
+    ordered = parts.repartition("_row").sortWithinPartitions("_row", "at")
+    spread = written(ordered.mapInArrow(_stitch(ranks, pattern), OUT.format(kind)), "bpe-long")
+    again = spread.filter("n_tokens is null").select("_row")
+    made = [short.mapInArrow(_texts(stitched, ranks, pattern), OUT.format(kind)), spread.filter("n_tokens is not null")]
+    if not again.isEmpty():
+        made.append(long.join(again, "_row", "left_semi").mapInArrow(_texts(whole, ranks, pattern), OUT.format(kind)))
+    return reduce(DataFrame.unionAll, made).select(F.col("_id").alias(id_col), "n_tokens", "ids_sha256", "decoded_sha256")
