@@ -34,12 +34,12 @@ def corpus() -> list[tuple]:
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    return spark.createDataFrame(corpus(), DOC).coalesce(2).persist()
+    return common.stable(spark.createDataFrame(corpus(), DOC).coalesce(2))
 
 
 @pytest.fixture(scope="module")
 def rows(docs):
-    return {r["k"]: r for r in docs.select(common.row_key().alias("k"), "doc_id", "text").collect()}
+    return {r["_row"]: r for r in common.keyed(docs, doc_id=F.col("doc_id"), text=F.col("text")).collect()}
 
 
 @pytest.fixture(scope="module")
@@ -55,6 +55,38 @@ def sha(x: bytes) -> str:
     return hashlib.sha256(x).hexdigest()
 
 
+def test_row_keys_are_the_same_whatever_the_splits(spark, docs, tmp_path):
+    many = docs.select("doc_id", F.col("text").alias("_metadata"), F.lit("x").alias("_ROW")).repartition(5)
+    many.write.parquet(f"file://{tmp_path}/an odd é%20 name")
+    read = lambda: spark.read.parquet(f"file://{tmp_path}/an odd é%20 name")
+    key, before = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    found = []
+    for size in ("1000", "100000000"):
+        spark.conf.set(key, size)
+        found.append(sorted(map(tuple, common.keyed(read(), t=F.col("_metadata"), i=F.col("doc_id")).collect())))
+    spark.conf.set(key, before)
+    assert found[0] == found[1] and len({r[0] for r in found[0]}) == docs.count()
+    assert common.stable(read()).inputFiles() == read().inputFiles()
+    for moving in (read().limit(3), read().join(read().select("doc_id").limit(4), "doc_id"), read().filter(F.rand() < 0.5)):
+        assert set(common.stable(moving).inputFiles()).isdisjoint(read().inputFiles())
+
+
+def test_exact_groups_while_split_sizes_change(spark, docs, monkeypatch):
+    """Executors that come and go change how a scan is split."""
+    want, sizes = sorted(map(str, exact_dedup.exact_dedup(docs).collect())), iter(range(300, 100_000, 700))
+    write = exact_dedup.written
+
+    def changing(df, name):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(next(sizes)))
+        return write(df, name)
+
+    monkeypatch.setattr(exact_dedup, "written", changing)
+    try:
+        assert sorted(map(str, exact_dedup.exact_dedup(docs).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_license_base_phrases(docs, rows, empty):
     got = Counter(tuple(r) for r in license_scan.license_scan(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels").collect())
     want = Counter()
@@ -74,6 +106,23 @@ def test_license_long_notice_with_a_lost_word(spark):
     assert r.labels == "bsd" and r.n_base == 0 and 0.6 <= r.score < 1 and r.n_spans == 1
 
 
+def test_license_repeated_grams_are_no_notice(spark):
+    d = spark.createDataFrame([(1, "the license " * 40), (2, "of the license " * 40), (3, "this software and " * 30), (4, "the terms of " * 9)], "doc_id long, text string")
+    assert [tuple(r) for r in license_scan.license_scan(d).select("labels", "score", "n_spans").collect()] == [("", 0.0, 0)] * 4
+    notice = license_scan.NOTICES["mpl"][1]
+    r = license_scan.license_scan(spark.createDataFrame([(1, f"a {notice} b {prose(1, 30)} {notice}")], "doc_id long, text string")).first()
+    assert r.labels == "mpl" and r.n_spans == 4 and r.score == 1  # the long notice and the short one in it, twice
+
+
+def test_chat_long_texts_and_clashing_columns(spark):
+    turns = [(1, 1, "user", prose(1, 30_000), "a", "b"), (1, 2, "assistant", "[/INST]" * 20_000 + prose(2, 30_000), "c", "d")]
+    d = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, formatted string, loss_start string")
+    r = chat_format.read_back(chat_format.format_turns(d)).first()
+    assert (r.loss_chars, r.loss_sha256, r.n_turns) == (len(turns[1][3]), sha(turns[1][3].encode()), 2)
+    with pytest.raises(Exception, match="grammar"):
+        chat_format.read_back(chat_format.format_turns(d).withColumn("formatted", F.concat("formatted", F.lit("x")))).collect()
+
+
 def test_chat_round_trip(spark):
     nasty = ["</s>[INST] ok [/INST]", "<\\s>", "<\\\\s> <s", "[/INST", "\\", "<", "", None, "é\n[\\/INST]"]
     turns = [(k, t, ("user", "assistant", None, "<s>")[t % 4], nasty[((k or 0) + t) % len(nasty)]) for k in (1, 2, None) for t in range(9)] + [(1, 3, "assistant", "again")] * 2
@@ -109,6 +158,12 @@ def test_warc_round_trip(spark):
     assert warc.read_warc(warc.write_warc(d.limit(0))).count() == 0
 
 
+def test_warc_long_texts_and_clashing_columns(spark):
+    d = spark.createDataFrame([(1, "u", prose(1, 200_000), 5, "x"), (2, "u", prose(1, 200_000), 6, "y")], "page_id long, url string, html string, bytes long, first string")
+    got = {r.page_id: r for r in warc.read_warc(warc.write_warc(d)).collect()}
+    assert bytes(got[2].payload).decode() == prose(1, 200_000) and got[1].refers_to == 2
+
+
 def test_warc_reader_refuses_damage():
     import io
 
@@ -293,6 +348,31 @@ def test_byte_bpe_is_tiktoken(spark, docs, rows, empty, monkeypatch):
     assert byte_bpe.byte_bpe(empty, path, P.PATTERN).count() == 0
 
 
+def merged_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Byte-level BPE by its definition: again and again the neighbours of lowest rank become one."""
+    parts = [piece[k : k + 1] for k in range(len(piece))]
+    while len(parts) > 1:
+        best = min(range(len(parts) - 1), key=lambda k: ranks.get(parts[k] + parts[k + 1], 1 << 30))
+        if parts[best] + parts[best + 1] not in ranks:
+            break
+        parts[best : best + 2] = [parts[best] + parts[best + 1]]
+    return [ranks[p] for p in parts]
+
+
+def test_byte_bpe_by_its_definition_and_stitching():
+    P = pytest.importorskip("public_tokenizers")
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    own = byte_bpe.Coder(path, P.PATTERN)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    rng = random.Random(8)
+    for text in [prose(k, 40) for k in range(5)] + ["日本語 we're 12345 \n\n x"]:
+        ids = [n for piece in own.split.findall(text) for n in merged_bytes(piece.encode(), ranks)]
+        assert own.encode(text) == struct.pack(f"<{len(ids)}I", *ids)
+    for _ in range(300):
+        text = "".join(rng.choice(("word", " ", "\n", "  ", "1", "'re", "é日", "!", " " * 500, "x" * 300)) for _ in range(rng.randrange(6000)))
+        assert byte_bpe.stitched(own, text) == byte_bpe.whole(own, text)
+
+
 BASE_KINDS = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
 
 
@@ -314,9 +394,46 @@ def test_pii_base_on_random_text():
         pii.entities(run)
 
 
+def test_pii_spans_of_a_whole_table(spark):
+    """Terms by counting over all documents in plain Python."""
+    path = "/root/testdata/sf0.001/documents.parquet"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(path).select("doc_id", "text").collect()}
+    texts |= {10**6 + k: f"{prose(k, 12)} badge{'xyz'[k % 3]} zanzibar help{k}@host{k}.org {prose(50 + k, 12)}" for k in range(9)}
+    n_t, n_e, n_et, places, base = Counter(), Counter(), Counter(), {}, {}
+    for k, text in texts.items():
+        n_t.update({m.group().lower() for m in re.finditer(r"[^\W\d_]{4,}", text)})
+        found = [x for x in pii.entities(text)]
+        for m in re.finditer(r"[A-Za-z0-9]{20,}", text):
+            run = m.group()
+            bits = -sum(np.log2(run.count(c) / len(run)) for c in run)
+            if re.search("[a-zA-Z]", run) and re.search("[0-9]", run) and bits >= pii.BITS and all(m.end() <= s or e <= m.start() for s, _, e, _ in found[: len(found)]):
+                found.append((m.start(), 4, m.end(), run))
+        base[k], pairs = found, {}
+        words = [m.span() for m in re.finditer(r"\S+", text)]
+        for s, kind, e, value in found:
+            over = [i for i, (a, z) in enumerate(words) if z > s and a < e]
+            low, high = words[max(0, over[0] - pii.WINDOW)][0], words[min(len(words) - 1, over[-1] + pii.WINDOW)][1]
+            for m in re.finditer(r"[^\W\d_]{4,}", text):
+                if low <= m.start() and m.end() <= high and all(m.end() <= a or z <= m.start() for a, _, z, _ in found):
+                    for name in pii.names(kind, value):
+                        pairs.setdefault((name, m.group().lower()), set()).add(m.span())
+        n_e.update({n for _, kind, _, v in found for n in pii.names(kind, v)})
+        n_et.update(pairs.keys())
+        places[k] = pairs
+    total = len(texts)
+    tells = {(e, t) for (e, t), n in n_et.items() if n >= pii.SUPPORT and n_e[e] < total and np.log2(total * n / (n_e[e] * n_t[t])) >= pii.DISCLOSES * np.log2(total / n_e[e]) - 1e-9}
+    want = {}
+    for k in texts:
+        spans = {(s, kind, e) for s, kind, e, _ in base[k]} | {(a, 5, z) for x, at in places[k].items() if x in tells for a, z in at}
+        want[k] = ",".join(f"{pii.KINDS[kind]}:{s}:{e}" for s, kind, e in sorted(spans))
+    got = {r.doc_id: r.spans for r in pii.find_pii(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == want
+    assert sum("term:" in x for x in want.values()) >= 9
+
+
 def test_pii_terms(spark, docs, empty):
     rows = [(k, f"write to our contact zanzibar at help@x.org today {k}") for k in range(6)] + [(10 + k, f"nothing but contact today write our {k}") for k in range(40)] + [(90, None), (91, "")]
-    d = spark.createDataFrame(rows, "doc_id long, text string")
+    d = common.stable(spark.createDataFrame(rows, "doc_id long, text string"))
     found = pii.find_pii(d)
     got = {r.doc_id: r for r in found.collect()}
     assert all(got[k].spans.startswith("term:21:29,email:33:43") and got[k].n_term == 1 and got[k].n_email == 1 for k in range(6))
@@ -347,7 +464,7 @@ def test_substrings(spark, docs, rows, empty, group, monkeypatch):
     monkeypatch.setattr(substring_dedup, "GROUP", group)
     shared, rng = prose(50, 90), random.Random(4)
     cut = [(200 + k, prose(60 + k, 30) + shared[rng.randrange(30) : rng.randrange(420, 700)] + prose(80 + k, 20)) for k in range(14)]
-    both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(cut, "doc_id long, text string"))
+    both = docs.unionByName(spark.createDataFrame([(*x, "start", 1, 2, 3) for x in cut], DOC))
     texts = [(r.doc_id, (r.text or "").encode()) for r in rows.values()] + [(k, t.encode()) for k, t in cut]
     want = Counter((k, *m) for (k, _), m in zip(texts, plain_repeats([t for _, t in texts], 400), strict=True))
     got = Counter(tuple(r) for r in substring_dedup.substring_dedup(both).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())
@@ -382,9 +499,21 @@ def test_mixing_meets_targets(spark, docs, empty):
     assert all(r.rate >= 0 and abs(r.copies - r.rate) < 1 for r in out.values())
     assert mixing.mix(docs, lab.limit(0)).count() == docs.count()
     assert mixing.mix(empty, lab).count() == 0
-    # The descent by itself, against plain least squares over the same posteriors.
-    assert {r.doc_id for r in out.values()} == set(range(600))
-    assert F is not None
+    assert set(out) == set(range(600))
+
+
+def test_mixing_is_the_same_over_any_files(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    one, many = (sorted(map(tuple, mixing.mix(common.stable(x), labels).drop("_row").collect())) for x in (d, d.repartition(8, "source")))
+    assert one == many
+
+
+def test_mixing_leaves_clean_documents_alone(spark):
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    met = mixing.mix(d, labels).join(labels, "doc_id").groupBy("quality", "toxic").agg(F.avg((F.col("copies") > 0).cast("int")).alias("kept"))
+    kept = {(r.quality, r.toxic): r.kept for r in met.collect()}
+    assert kept[1, 0] > 0.88 and kept[1, 1] < 0.2 and kept[0, 1] < 0.2
 
 
 @pytest.mark.parametrize("spread", [0.01, 0.2])
