@@ -62,6 +62,20 @@ def text_bool(c) -> Column:
     return F.when(col(c) == "True", True).when(col(c) == "False", False)
 
 
+def log_time(c) -> Column:
+    """A time as logs have it, to the second."""
+    return F.date_format(col(c).cast("timestamp"), "yyyy-MM-dd HH:mm:ss")
+
+
+def sha1_prefix(c, n: int = 10) -> Column:
+    return F.substring(F.sha1(col(c)), 1, n)
+
+
+def must(c, value: Column, what: str) -> Column:
+    """value, and an error where it is null though c isn't: for casts and mappings that have to succeed."""
+    return F.when(F.assert_true(col(c).isNull() | value.isNotNull(), F.concat(F.lit(f"ERROR: {what}: "), col(c).cast("string"))).isNull(), value)
+
+
 # Numbers
 
 
@@ -80,7 +94,7 @@ def bin_index(c, bins: int) -> Column:
     return F.least(F.floor(col(c) * bins), F.lit(bins - 1)).cast("long")
 
 
-def uniform(seed: int, *cols) -> Column:
+def uniform(seed: int | str, *cols) -> Column:
     """A number in [0, 1) that depends on seed and cols only: the first 32 bits of an MD5."""
     text = F.concat_ws("|", F.lit(str(seed)), *[col(c).cast("string") for c in cols])
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / 4294967296.0

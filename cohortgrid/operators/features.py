@@ -101,13 +101,13 @@ def f_statistic(cells: DataFrame) -> DataFrame:
     return both.select("probe", F.when(within <= 1e-12, F.lit(0.0)).otherwise(ratio(between / (F.col("k") - 1), within / (F.col("n") - F.col("k")))).alias("f"))
 
 
-def eta_squared(df: DataFrame, value: str, group: str) -> DataFrame:
-    """Between-group share of the sum of squares; one row."""
+def eta_squared(df: DataFrame, value: str, group: str, *by: str) -> DataFrame:
+    """Between-group share of the sum of squares; one row, or one per by."""
     v = F.col(value).cast("double")
-    per = df.filter(v.isNotNull()).groupBy(group).agg(F.count(v).alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("q"))
-    r = per.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b"))
+    per = df.filter(v.isNotNull()).groupBy(*by, group).agg(F.count(v).alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("q"))
+    r = per.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b"))
     mean = F.col("s") * F.col("s") / F.col("n")
-    return r.select(ratio(F.col("b") - mean, F.col("q") - mean).alias("eta_squared"))
+    return r.select(*by, ratio(F.col("b") - mean, F.col("q") - mean).alias("eta_squared"))
 
 
 @dataclass

@@ -50,14 +50,35 @@ def reliability(scored: DataFrame, bins: int = BINS) -> DataFrame:
 
 
 def summary(scored: DataFrame, *by: str) -> DataFrame:
-    """macro_f1, balanced_accuracy, accuracy, brier, ece, confident_share, confident_accuracy: one row per by."""
-    one = [F.lit(1).alias("_one")] if not by else []
-    keyed = scored.select("*", *one)
+    """macro_f1, balanced_accuracy, accuracy, brier, ece, confident_share, confident_accuracy: one row per by.
+
+    Rows are read once, into sums per (truth, predicted, bin, sure); all seven metrics come from that small table.
+    """
     by = by or ("_one",)
-    present = per_class(keyed, *by).filter("n > 0").groupBy(*by).agg(F.avg("f1").alias("macro_f1"), F.avg("recall").alias("balanced_accuracy"))
-    sure = F.col("confidence") >= SURE
-    rows = keyed.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("correct").alias("accuracy"), F.avg("brier").alias("brier"), F.avg(sure.cast("int")).alias("confident_share"), F.avg(F.when(sure, F.col("correct"))).alias("confident_accuracy"))
-    return rows.join(present, list(by)).join(ece(keyed, *by), list(by)).drop("_one")
+    rows = scored if by != ("_one",) else scored.withColumn("_one", F.lit(1))
+    cells = rows.groupBy(*by, "truth", "predicted", bin_index("confidence", BINS).alias("bin"), (F.col("confidence") >= SURE).cast("int").alias("sure")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("correct").alias("correct"), F.sum("confidence").alias("confidence"), F.sum("brier").alias("brier")
+    )
+    side = lambda kind, c, n, q, hit: F.struct(F.lit(kind).alias("kind"), c.cast("string").alias("key"), n.alias("n"), q.alias("q"), hit.alias("hit"), F.col("confidence"), F.col("brier"), F.col("sure"))
+    n, zero, hit = F.col("n"), F.lit(0).cast("long"), F.col("correct").cast("long")
+    each = cells.select(*by, F.explode(F.array(side("class", F.col("truth"), n, zero, hit), side("class", F.col("predicted"), zero, n, zero), side("bin", F.col("bin"), n, zero, hit))).alias("s")).select(*by, "s.*")
+    is_sure = F.col("sure") == 1
+    sums = each.groupBy(*by, "kind", "key").agg(
+        *[F.sum(c).alias(c) for c in ("n", "q", "hit", "confidence", "brier")], F.coalesce(F.sum(F.when(is_sure, F.col("n"))), F.lit(0)).alias("n_sure"), F.coalesce(F.sum(F.when(is_sure, F.col("hit"))), F.lit(0)).alias("hit_sure")
+    )
+    of = lambda kind, c: F.when(F.col("kind") == kind, c)
+    present, total = F.col("n") > 0, F.sum(of("bin", F.col("n")))
+    out = sums.groupBy(*by).agg(
+        total.alias("n"),
+        (F.sum(of("bin", F.col("hit"))) / total).alias("accuracy"),
+        (F.sum(of("bin", F.col("brier"))) / total).alias("brier"),
+        (F.sum(of("bin", F.col("n_sure"))) / total).alias("confident_share"),
+        ratio(F.sum(of("bin", F.col("hit_sure"))), F.sum(of("bin", F.col("n_sure")))).alias("confident_accuracy"),
+        F.avg(of("class", F.when(present, 2 * F.col("hit") / (F.col("n") + F.col("q"))))).alias("macro_f1"),
+        F.avg(of("class", F.when(present, F.col("hit") / F.col("n")))).alias("balanced_accuracy"),
+        (F.sum(of("bin", F.abs(F.col("hit") - F.col("confidence")))) / total).alias("ece"),
+    )
+    return out.drop("_one")
 
 
 METRICS = ("macro_f1", "balanced_accuracy", "accuracy", "brier", "ece", "confident_share", "confident_accuracy")

@@ -94,6 +94,14 @@ def fit_predict(kind: str, train: DataFrame, test: DataFrame, seed: int = 1, **m
 
 
 def pca(rows: DataFrame, k: int) -> tuple[DataFrame, list[float]]:
-    """The first k components of each sample, and their shares of the variance."""
+    """sample_id, component (from 0), score, share (of the variance); and the shares. A component's largest weight is positive, so signs are fixed."""
+    import numpy as np
+
     fitted = PCA(k=k, inputCol="features", outputCol="pc").fit(rows)
-    return fitted.transform(rows).select("sample_id", vector_to_array("pc").alias("pc")), list(fitted.explainedVariance)
+    # k weights a feature: small.
+    weights = np.array(fitted.pc.toArray())
+    signs = np.sign(weights[np.abs(weights).argmax(0), range(k)])
+    shares = [float(x) for x in fitted.explainedVariance]
+    each = fitted.transform(rows).select("sample_id", F.posexplode(vector_to_array("pc")).alias("component", "score"))
+    fixed = [F.get(F.array(*[F.lit(float(x)) for x in v]), F.col("component")) for v in (signs, shares)]
+    return each.select("sample_id", "component", (F.col("score") * fixed[0]).alias("score"), fixed[1].alias("share")), shares

@@ -46,6 +46,11 @@ def best_per(df: DataFrame, by: list[str], *order: Column) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter("_r = 1").drop("_r")
 
 
+def inverse_rank(df: DataFrame, by: list[str], value: str, key: str) -> DataFrame:
+    """rank of each row within by, largest value first, ties by key."""
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(value), key)))
+
+
 def mode_per(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """The most frequent value of each group, n, the group's size, and whether others tie with it (the value is then the smallest)."""
     n = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))

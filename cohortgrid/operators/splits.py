@@ -67,15 +67,29 @@ def halves(samples: DataFrame, n_splits: int, seed: int = 11) -> DataFrame:
     return each.withColumn("half", (F.row_number().over(order) > F.floor(n / 2)).cast("int"))
 
 
-def bootstrap_draws(scored: DataFrame, n_boot: int, seed: int = 0, group: str | None = None) -> DataFrame:
-    """n_boot resamples with replacement. Rows are numbered 0..n-1 by sample_id; draw i of resample b takes row floor(u(seed, b, i) n).
+def numbered(rows: DataFrame, *by: str, buckets: int = 256) -> DataFrame:
+    """_i: 0 .. _n - 1 within by, in the order of a hash bucket of the id and the id. No task sees more than a bucket: the buckets' offsets come from their counts."""
+    rows = rows.withColumn("_bucket", F.floor(uniform("row", "sample_id") * buckets).cast("int"))
+    sizes = rows.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
+    one = list(by) or [F.lit(1)]
+    # At most buckets rows per by.
+    offsets = sizes.withColumn("_from", F.sum("_size").over(Window.partitionBy(*one).orderBy("_bucket")) - F.col("_size")).withColumn("_n", F.sum("_size").over(Window.partitionBy(*one)))
+    within = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy("sample_id")) - 1
+    return rows.withColumn("_k", within).join(offsets.drop("_size"), [*by, "_bucket"]).withColumn("_i", (F.col("_from") + F.col("_k")).cast("long")).drop("_bucket", "_k", "_from")
+
+
+def bootstrap_draws(scored: DataFrame, n_boot: int = 1000, seed: int = 0, group: str | None = None) -> DataFrame:
+    """n_boot resamples with replacement: of rows numbered 0..n-1, draw i of resample b takes row floor(u(seed, b, i) n).
 
     The same draws serve every model and label level of a sample set.
     """
     by = [group] if group else []
-    w = Window.partitionBy(*by).orderBy("sample_id") if by else Window.orderBy("sample_id")
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by)) if by else F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
-    rows = scored.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", n)
+    rows = numbered(scored, *by)
     draws = rows.select(*by, "_i", "_n", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
-    draws = draws.select(*by, "b", F.floor(uniform(seed, "b", "_i") * F.col("_n")).cast("int").alias("_i"))
+    draws = draws.select(*by, "b", F.floor(uniform(seed, "b", "_i") * F.col("_n")).cast("long").alias("_i"))
     return draws.join(rows.drop("_n"), [*by, "_i"]).drop("_i")
+
+
+def mask_shares(samples: DataFrame, low: float = 0.001, seed: int = 17, epoch: int = 0) -> DataFrame:
+    """share: log-uniform in [low, 1], a draw per sample and epoch, as masked training uses it."""
+    return samples.select("sample_id", F.pow(F.lit(low), 1 - uniform(seed, F.lit(epoch), "sample_id")).alias("share"))

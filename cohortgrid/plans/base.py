@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import metrics, models, splits
+from ..operators import metrics, models, nested, splits
 from ..sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,9 +53,8 @@ def split_cells(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 def test_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """sample_id, class, p of fold 0 by the nearest centroid of the others."""
-    train, test = split_cells(spark, sf)
-    return models.centroid_scores(models.centroid_distances(test, models.fit_centroids(train)))
+    """sample_id, class, p of every sample, by the nearest centroid of the outer folds that it isn't in."""
+    return models.centroid_scores(nested.held_out_distances(cells(spark, sf), nested.outer_dealt(folds(spark, sf))))
 
 
 def truth(spark: SparkSession, sf: str) -> DataFrame:
@@ -81,7 +80,10 @@ CENTROIDS = SPLIT + """, cent AS (SELECT class, probe, avg(beta) AS mean FROM tr
  df AS (SELECT greatest(count(DISTINCT sample_id) - count(DISTINCT class), 1) AS df FROM train WHERE beta IS NOT NULL),
  pooled AS (SELECT probe, sum((beta - mean) * (beta - mean)) / max(df) + 1e-4 AS var FROM train JOIN cent USING (class, probe), df WHERE beta IS NOT NULL GROUP BY probe),
  centroids AS (SELECT class, probe, mean, var, mean / var AS a, mean * mean / var AS b FROM cent JOIN pooled USING (probe))"""
-SCORES = CENTROIDS + """, dist AS (SELECT t.sample_id, c.class, sum(-2 * t.beta * c.a + c.b) AS distance, count(*) AS n_obs FROM test t JOIN centroids c USING (probe) WHERE t.beta IS NOT NULL GROUP BY 1, 2),
+SCORES = CELLS + FOLDS + """, each AS (SELECT k, s.sample_id, s.class, s.probe, s.beta FROM cells s JOIN outers USING (sample_id) JOIN (SELECT unnest(range(5)) AS k) ON outer_fold <> k WHERE s.beta IS NOT NULL),
+ means AS (SELECT k, class, probe, avg(beta) AS mean FROM each GROUP BY ALL), sizes AS (SELECT k, greatest(count(DISTINCT sample_id) - count(DISTINCT class), 1) AS df FROM each GROUP BY k),
+ vars AS (SELECT k, probe, sum((beta - mean) * (beta - mean)) / any_value(df) + 1e-4 AS var FROM each JOIN means USING (k, class, probe) JOIN sizes USING (k) GROUP BY k, probe),
+ dist AS (SELECT t.sample_id, c.class, sum(-2 * t.beta * c.mean / v.var + c.mean * c.mean / v.var) AS distance, count(*) AS n_obs FROM cells t JOIN outers o USING (sample_id) JOIN means c ON c.k = o.outer_fold AND c.probe = t.probe JOIN vars v ON v.k = c.k AND v.probe = c.probe WHERE t.beta IS NOT NULL GROUP BY 1, 2),
  ex AS (SELECT *, exp(-0.5 * (distance - min(distance) OVER (PARTITION BY sample_id)) / greatest(n_obs, 1)) AS e FROM dist),
  scores AS (SELECT sample_id, class, round(e / sum(e) OVER (PARTITION BY sample_id), 9) AS p FROM ex)"""
 TOP = """, top AS (SELECT sample_id, class AS predicted, p AS confidence FROM scores QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY p DESC, class) = 1)"""

@@ -184,13 +184,15 @@ def metrics_by_group(spark, sf):
     return rounded(M.by_group(both, "material"), *M.METRICS)
 
 
-DRAWS = """, numbered AS (SELECT *, row_number() OVER (ORDER BY sample_id) - 1 AS i, count(*) OVER () AS nn FROM {src}),
- drawn AS (SELECT b, CAST(floor(""" + U.format(0, "b, i") + """ * nn) AS BIGINT) AS i FROM numbered, (SELECT unnest(range(20)) AS b)), boot AS (SELECT b, n.* FROM drawn JOIN numbered n USING (i))"""
+#: Resamples of the registered queries.
+DRAWN = 200
+DRAWS = """, numbered AS (SELECT *, row_number() OVER (ORDER BY floor(""" + U.format("row", "sample_id") + """ * 256), sample_id) - 1 AS i, count(*) OVER () AS nn FROM {src}),
+ drawn AS (SELECT b, CAST(floor(""" + U.format(0, "b, i") + """ * nn) AS BIGINT) AS i FROM numbered, (SELECT unnest(range(200)) AS b)), boot AS (SELECT b, n.* FROM drawn JOIN numbered n USING (i))"""
 
 
 @query(SCORED + DRAWS.format(src="scored") + f", per AS ({summary_sql('boot', 'b')}), long AS (UNPIVOT (SELECT b, {', '.join(M.METRICS)} FROM per) ON {', '.join(M.METRICS)} INTO NAME metric VALUE value) SELECT metric, round(quantile_cont(value, 0.025), 6) + 0.0 AS ci_low, round(quantile_cont(value, 0.975), 6) + 0.0 AS ci_high FROM long GROUP BY metric")
 def bootstrap_ci(spark, sf):
-    per = M.summary(splits.bootstrap_draws(scored(spark, sf), 20), "b")
+    per = M.summary(splits.bootstrap_draws(scored(spark, sf), DRAWN), "b")
     return rounded(M.intervals(per).filter("ci_low is not null"), "ci_low", "ci_high")
 
 
@@ -200,14 +202,14 @@ HALVED = SCORES + TOP + """, t2 AS (SELECT sample_id, s.class AS truth, predicte
 @query(HALVED + DRAWS.format(src="t2") + ", d AS (SELECT b, avg(c1) - avg(c2) AS d FROM boot GROUP BY b) SELECT round(avg(d), 6) + 0.0 AS mean_difference, round(quantile_cont(d, 0.025), 6) + 0.0 AS ci_low, round(quantile_cont(d, 0.975), 6) + 0.0 AS ci_high, round(avg(CAST(d > 0 AS INT)), 6) + 0.0 AS share_above FROM d")
 def paired_bootstrap(spark, sf):
     rows = scored(spark, sf).select("sample_id", F.col("correct").alias("c1"), ((F.col("predicted") + F.col("sample_id")) % 10 == F.col("truth")).cast("int").alias("c2"))
-    d = splits.bootstrap_draws(rows, 20).groupBy("b").agg((F.avg("c1") - F.avg("c2")).alias("d"))
+    d = splits.bootstrap_draws(rows, DRAWN).groupBy("b").agg((F.avg("c1") - F.avg("c2")).alias("d"))
     return rounded(d.agg(F.avg("d").alias("mean_difference"), F.percentile("d", 0.025).alias("ci_low"), F.percentile("d", 0.975).alias("ci_high"), F.avg((F.col("d") > 0).cast("int")).alias("share_above")), "mean_difference", "ci_low", "ci_high", "share_above")
 
 
 @query(SCORED + DRAWS.format(src="scored") + ", d AS (SELECT b, avg(correct) AS d FROM boot GROUP BY b) SELECT (SELECT round(avg(correct), 6) + 0.0 FROM scored) AS share, round(quantile_cont(d, 0.025), 6) + 0.0 AS ci_low, round(quantile_cont(d, 0.975), 6) + 0.0 AS ci_high FROM d")
 def boot_share(spark, sf):
     s = scored(spark, sf)
-    d = splits.bootstrap_draws(s, 20).groupBy("b").agg(F.avg("correct").alias("d"))
+    d = splits.bootstrap_draws(s, DRAWN).groupBy("b").agg(F.avg("correct").alias("d"))
     r = d.agg(F.percentile("d", 0.025).alias("ci_low"), F.percentile("d", 0.975).alias("ci_high")).withColumn("one", F.lit(1)).join(s.agg(F.avg("correct").alias("share")).withColumn("one", F.lit(1)), "one")
     return rounded(r.select("share", "ci_low", "ci_high"), "share", "ci_low", "ci_high")
 
@@ -220,15 +222,18 @@ def anova_f(spark, sf):
     return rounded(X.f_statistic(filled(spark, sf)[1]), "f")
 
 
-@query(CELLS + ", g AS (SELECT probe, class, count(*) AS n, sum(beta) AS s, sum(beta * beta) AS q FROM cells WHERE beta IS NOT NULL AND probe = 3 GROUP BY 1, 2) SELECT round((sum(s * s / n) - sum(s) * sum(s) / sum(n)) / (sum(q) - sum(s) * sum(s) / sum(n)), 6) + 0.0 AS eta_squared FROM g")
+@query(CELLS + ", g AS (SELECT probe, class, count(*) AS n, sum(beta) AS s, sum(beta * beta) AS q FROM cells WHERE beta IS NOT NULL GROUP BY 1, 2) SELECT probe, round((sum(s * s / n) - sum(s) * sum(s) / sum(n)) / (sum(q) - sum(s) * sum(s) / sum(n)), 6) + 0.0 AS eta_squared FROM g GROUP BY probe")
 def eta_squared(spark, sf):
-    return rounded(X.eta_squared(cells(spark, sf).filter("probe = 3"), "beta", "class"), "eta_squared")
+    return rounded(X.eta_squared(cells(spark, sf), "beta", "class", "probe"), "eta_squared")
 
 
-@query(CELLS + " SELECT sample_id, class, round(beta - avg(beta) OVER (PARTITION BY class), 6) + 0.0 AS residual FROM cells WHERE probe = 3")
+@query(CELLS + " SELECT sample_id, probe, class, round(beta - avg(beta) OVER (PARTITION BY probe, class), 6) + 0.0 AS residual FROM cells")
 def within_class_residual(spark, sf):
-    r = cells(spark, sf).filter("probe = 3").withColumn("residual", F.col("beta") - F.avg("beta").over(Window.partitionBy("class")))
-    return rounded(r.select("sample_id", "class", "residual"), "residual")
+    """Means per class and probe are joined back, so no group of cells stands in one task."""
+    c = cells(spark, sf)
+    means = c.groupBy("probe", "class").agg(F.avg("beta").alias("m"))
+    r = c.join(means, ["probe", "class"]).withColumn("residual", F.col("beta") - F.col("m"))
+    return rounded(r.select("sample_id", "probe", "class", "residual"), "residual")
 
 
 @query(MEDIANS + F_STAT + """, leaky AS (SELECT probe FROM (SELECT probe, (sum(s * s / n) - sum(s) * sum(s) / sum(n)) / (count(*) - 1) / ((sum(q) - sum(s * s / n)) / (sum(n) - count(*))) AS f FROM (SELECT probe, class, count(beta) AS n, sum(beta) AS s, sum(beta * beta) AS q FROM filled GROUP BY 1, 2) GROUP BY probe) ORDER BY f DESC, probe LIMIT 10),
@@ -364,12 +369,6 @@ def alias_membership(spark, sf):
     return annotation(spark).filter(F.arrays_overlap(F.split("genes", ";"), F.array(F.lit("g6"), F.lit("g4")))).select("probe", "genes")
 
 
-@query(SCORED + ALL + f", s AS ({summary_sql('one', 'k')}) SELECT round(macro_f1, 6) + 0.0 AS value, round(macro_f1 + 0.05, 6) + 0.0 AS reference, macro_f1 >= macro_f1 + 0.05 - 0.05 - 1e-9 AS met FROM s")
-def target_row(spark, sf):
-    s = M.summary(scored(spark, sf)).select(F.col("macro_f1").alias("value"), (F.col("macro_f1") + 0.05).alias("reference"))
-    return rounded(s.withColumn("met", F.col("value") >= F.col("reference") - 0.05 - 1e-9), "value", "reference")
-
-
 @query(SCORED + f", one AS (SELECT *, 1 AS k FROM scored WHERE truth < 7) SELECT n, {rsql('macro_f1', 'accuracy')} FROM ({summary_sql('one', 'k')})")
 def shared_class_reference(spark, sf):
     """Metrics on the classes that another cohort has; predictions of other classes still count as errors."""
@@ -415,7 +414,7 @@ def _model(kind, **more):
 @query()
 def pca_embedding(spark, sf):
     every, _ = filled(spark, sf)
-    return models.pca(models.vectors(every), 5)[0].select("sample_id", F.size("pc").alias("n_components"))
+    return models.pca(models.vectors(every), 5)[0]
 
 
 @query()

@@ -43,7 +43,12 @@ def qc_apply(spark, sf):
 
 @query("SELECT event_type, count(*) AS n, count(*) FILTER (WHERE value >= 25.0) AS n_keep, round(100.0 * count(*) FILTER (WHERE value < 25.0) / count(*), 2) + 0.0 AS pct_lost FROM events GROUP BY 1")
 def class_impact(spark, sf):
-    r = table(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") >= 25.0).alias("n_keep"), F.count_if(F.col("value") < 25.0).alias("_lost"))
+    """Verdicts joined back 1:1, once both key sets are known to be equal."""
+    e = table(spark, sf, "events").select("event_id", "event_type")
+    verdicts = table(spark, sf, "events").select("event_id", (F.col("value") >= 25.0).alias("keep"))
+    C.unique_key(verdicts, "event_id")
+    C.same_keys(e, verdicts, "event_id")
+    r = e.join(verdicts, "event_id", "left").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if("keep").alias("n_keep"), F.count_if(~F.col("keep")).alias("_lost"))
     return rounded(r.withColumn("pct_lost", 100 * F.col("_lost") / F.col("n")).drop("_lost"), "pct_lost", places=2)
 
 
@@ -291,10 +296,11 @@ def url_build(spark, sf):
     return table(spark, sf, "nation").select("n_nationkey", F.concat(F.lit("https://example.org/"), F.substring(series, 1, 5), F.lit("nnn/"), F.col("n_name")).alias("url"))
 
 
-@query("SELECT count(*) AS n_common FROM (SELECT c_custkey AS k FROM customer WHERE c_custkey % 2 = 0 INTERSECT SELECT c_custkey FROM customer WHERE c_custkey % 2 = 1)")
+@query("SELECT segment, count(*) AS n_common FROM (SELECT DISTINCT c_mktsegment AS segment, c_custkey AS k FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderdate < DATE '1995-01-01' INTERSECT SELECT DISTINCT c_mktsegment, c_custkey FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderdate >= DATE '1995-01-01') GROUP BY 1")
 def cohort_disjoint(spark, sf):
-    k = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"))
-    return k.filter("k % 2 = 0").intersect(k.filter("k % 2 = 1")).agg(F.count(F.lit(1)).alias("n_common"))
+    """Customers of an early and a late cohort, and how many stand in both; contracts.disjoint() refuses that."""
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_mktsegment").alias("segment"), F.col("c_custkey").alias("k"), (F.col("o_orderdate").cast("date") < F.lit("1995-01-01").cast("date")).alias("early"))
+    return o.filter("early").select("segment", "k").intersect(o.filter("not early").select("segment", "k")).groupBy("segment").agg(F.count(F.lit(1)).alias("n_common"))
 
 
 @query("SELECT o_custkey, count(*) AS n, CAST(rank() OVER (ORDER BY count(*) DESC) AS INT) AS rank FROM orders GROUP BY 1 QUALIFY rank() OVER (ORDER BY count(*) DESC) <= 5")
@@ -328,35 +334,10 @@ def single_row_lookup(spark, sf):
     return C.single_row(table(spark, sf, "nation"), F.col("n_nationkey") == 7).select("n_nationkey", "n_name")
 
 
-GRID = "WITH g AS (SELECT unnest(['s000', 's001', 's002', 's003']) AS setting), f AS (SELECT CAST(unnest([0, 1, 2]) AS INT) AS outer_fold), sc AS (SELECT setting, outer_fold, round(0.5 + ((ascii(substr(setting, 4, 1)) * 7 + outer_fold * 5) % 4) / 10.0, 6) AS score FROM g, f)"
-
-
-def scores_table(spark):
-    g = R.settings_grid(spark, [10, 20], [("trees", [100, 500])]).select("setting", F.explode(F.array(*map(F.lit, range(3)))).alias("outer_fold"))
-    return g.withColumn("score", F.round(F.lit(0.5) + ((F.ascii(F.substring("setting", 4, 1)) * 7 + F.col("outer_fold") * 5) % 4) / 10, 6))
-
-
-@query(GRID + " SELECT outer_fold, setting, CAST(score AS DOUBLE) AS score FROM sc QUALIFY row_number() OVER (PARTITION BY outer_fold ORDER BY score DESC, setting) = 1")
-def select_best_setting(spark, sf):
-    return R.best_per(scores_table(spark), ["outer_fold"], F.desc("score"), F.asc("setting"))
-
-
-@query(GRID + " SELECT setting, round(avg(CAST(score AS DOUBLE)), 6) + 0.0 AS mean_score, CAST(dense_rank() OVER (ORDER BY round(avg(CAST(score AS DOUBLE)), 6) DESC) AS INT) AS rank FROM sc GROUP BY setting")
-def tie_rules(spark, sf):
-    m = rounded(scores_table(spark).groupBy("setting").agg(F.avg("score").alias("mean_score")), "mean_score")
-    return m.withColumn("rank", F.dense_rank().over(Window.orderBy(F.desc("mean_score"))))
-
-
-@query(GRID + ", b AS (SELECT outer_fold, setting FROM sc QUALIFY row_number() OVER (PARTITION BY outer_fold ORDER BY score DESC, setting) = 1), n AS (SELECT setting, count(*) AS n FROM b GROUP BY 1) SELECT min(setting) AS setting, max(n) || ' of 3' AS support, count(*) > 1 AS tie FROM n WHERE n = (SELECT max(n) FROM n)")
-def config_rules(spark, sf):
-    best = R.best_per(scores_table(spark), ["outer_fold"], F.desc("score"), F.asc("setting")).withColumn("rule", F.lit("setting"))
-    return R.mode_per(best, ["rule"], "setting").select("setting", F.format_string("%d of %d", "n", "size").alias("support"), "tie")
-
-
-@query(GRID + ", b AS (SELECT min(setting) AS setting FROM sc WHERE outer_fold = 0 AND score = (SELECT max(score) FROM sc WHERE outer_fold = 0)) SELECT 'best of fold 0' AS rule, setting AS found, 's001' AS configured, setting = 's001' AS ok FROM b")
-def rule_audit(spark, sf):
-    best = R.best_per(scores_table(spark).filter("outer_fold = 0"), ["outer_fold"], F.desc("score"), F.asc("setting"))
-    return best.select(F.lit("best of fold 0").alias("rule"), F.col("setting").alias("found"), F.lit("s001").alias("configured"), (F.col("setting") == "s001").alias("ok"))
+@query("""WITH f AS (SELECT unnest([10, 20]) AS n_features, unnest([0, 1]) AS i), t AS (SELECT unnest([100, 500]) AS trees, unnest([0, 1]) AS j)
+ SELECT 's00' || (2 * i + j) AS setting, CAST(n_features AS INT) AS n_features, '{"trees": ' || trees || '}' AS model_params FROM f, t""")
+def settings_grid(spark, sf):
+    return R.settings_grid(spark, [10, 20], [("trees", [100, 500])])
 
 
 @query("WITH m AS (SELECT unnest(['forest', 'centroid']) AS model), l AS (SELECT unnest(['class', 'family']) AS level), k AS (SELECT unnest(['accuracy', 'ece']) AS metric) SELECT model, level, metric FROM m, l, k WHERE (level = 'class' OR model = 'forest') AND (model <> 'centroid' OR metric = 'accuracy')")
@@ -388,3 +369,37 @@ def windowed_events(spark, sf):
     return rounded(w.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", "total"), "total", places=4)
 
 
+
+
+@query("SELECT event_type, event_id, CAST(row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS INT) AS rank FROM events WHERE event_type IN (SELECT max(event_type) FROM events) QUALIFY event_id % 10 = 0")
+def inverse_rank(spark, sf):
+    """The rank that each member of a subset has among all rows."""
+    e = table(spark, sf, "events")
+    e = e.join(F.broadcast(e.agg(F.max("event_type").alias("event_type"))), "event_type", "left_semi")
+    return R.inverse_rank(e, ["event_type"], "value", "event_id").filter("event_id % 10 = 0").select("event_type", "event_id", "rank")
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM events")
+def log_times(spark, sf):
+    return table(spark, sf, "events").select("event_id", S.log_time("ts").alias("at"))
+
+
+@query("SELECT p_partkey, substr(sha1(p_name), 1, 10) AS name FROM part")
+def content_names(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", S.sha1_prefix("p_name").alias("name"))
+
+
+@query("SELECT o_orderkey, round(pow(0.001, 1 - CAST(('0x' || substr(md5('17|0|' || o_orderkey), 1, 8)) AS BIGINT) / 4294967296.0), 9) + 0.0 AS share FROM orders")
+def mask_shares(spark, sf):
+    from ..operators.splits import mask_shares as shares
+
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("sample_id"))
+    return rounded(shares(o).withColumnRenamed("sample_id", "o_orderkey"), "share", places=9)
+
+
+@query("SELECT n_nationkey, CASE n_regionkey WHEN 0 THEN 'af' WHEN 1 THEN 'am' WHEN 2 THEN 'as' WHEN 3 THEN 'eu' WHEN 4 THEN 'me' END AS code, CAST(regexp_replace(CAST(n_nationkey AS VARCHAR), 'x', '') AS INT) AS number FROM nation")
+def strict_mapping(spark, sf):
+    """A closed mapping and a cast that must both succeed: an unknown value stops the run."""
+    code = F.get(F.array(*map(F.lit, ("af", "am", "as", "eu", "me"))), F.col("n_regionkey").cast("int"))
+    text = F.col("n_nationkey").cast("string")
+    return table(spark, sf, "nation").select("n_nationkey", S.must("n_regionkey", code, "unknown region").alias("code"), S.must("n_nationkey", text.try_cast("int"), "not a number").alias("number"))

@@ -65,7 +65,9 @@ def test_poison_in_test_rows_changes_no_fit(spark):
     fits = [X.FeaturePipeline(3, correct_material=True).fit(d.filter("sample_id < 18")) for d in (c, poisoned)]
     for what in ("medians", "shift", "probes"):
         a, b = (sorted(map(tuple, getattr(f, what).collect())) for f in fits)
-        assert a == b
+        # Sums may be added in another order; a trace of 1e6 would be far above this.
+        assert [x[0] for x in a] == [x[0] for x in b]
+        assert [x[1:] for x in a] == [pytest.approx(x[1:], abs=1e-9) for x in b]
     # The converse: poison in a training row does show.
     assert sorted(map(tuple, X.fit_medians(c).collect())) != sorted(map(tuple, X.fit_medians(poisoned).collect()))
 
