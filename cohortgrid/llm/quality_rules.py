@@ -8,8 +8,10 @@ rate stays under HOST_LIMIT.
 
 Scale: one pass over the text; what it makes (about 60 bytes a document) is
 written to the shared folder, so the text is not read twice. Sums per host are
-pre-aggregated, so a hot host costs one row a task. The join back is on a
-table of one row a host; Spark may broadcast it by its size or split a hot host.
+pre-aggregated, so a hot host costs one row a task. The table of verdicts, one row
+a host, is written and measured: up to MAX_HOSTS bytes it is broadcast, so the
+rows of a hot host stay where they are; a larger one is joined by shuffle, where
+Spark may split a hot host.
 
 Cases: null or empty text has no words and fails; a null host is a host of its
 own; repeated rows and ids each get their row; no table or an empty one gives
@@ -33,6 +35,8 @@ MIN_WORDS, MAX_REPEAT_PCT = 50, 50
 HOST_LIMIT = 0.6
 #: What the prior may weigh, in documents.
 MIN_PRIOR, MAX_PRIOR = 2.0, 1000.0
+#: Bytes of verdicts (names and 64 a row) that are broadcast at most.
+MAX_HOSTS = 16 << 20
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -76,7 +80,9 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words"))
     rows = written(found.withColumn("base_failed", failed), "quality")
-    verdicts = host_verdicts(rows)
+    verdicts = written(host_verdicts(rows), "hosts")
+    size = verdicts.agg(F.sum(F.octet_length("_host") + 64)).first()[0] or 0
+    verdicts = F.broadcast(verdicts) if size <= MAX_HOSTS else verdicts
     return rows.join(verdicts, "_host", "left").select(
         "_row", F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         F.when(F.col("_host") != "\0null", F.col("_host")).alias("host"), "host_rate",

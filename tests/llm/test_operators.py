@@ -193,7 +193,9 @@ def test_quality_measures(docs, rows, empty):
     assert quality_rules.measures("a b c a b c d # |\nx\nx\n\n") == (11, 11, 2, 1, 6)
 
 
-def test_a_bad_host_takes_its_documents_along(spark):
+@pytest.mark.parametrize("most", [0, quality_rules.MAX_HOSTS])
+def test_a_bad_host_takes_its_documents_along(spark, most, monkeypatch):
+    monkeypatch.setattr(quality_rules, "MAX_HOSTS", most)
     good = prose(1, 70)
     d = spark.createDataFrame([(k, good if k % 10 == 0 else "bad", "worst") for k in range(200)] + [(k, good + str(k), f"h{k % 5}") for k in range(200, 600)], "doc_id long, text string, source string")
     kept = {r.doc_id for r in quality_rules.quality_rules(d).filter("kept").collect()}
