@@ -46,9 +46,21 @@ def best_per(df: DataFrame, by: list[str], *order: Column) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter("_r = 1").drop("_r")
 
 
-def inverse_rank(df: DataFrame, by: list[str], value: str, key: str) -> DataFrame:
-    """rank of each row within by, largest value first, ties by key."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(value), key)))
+def inverse_rank(df: DataFrame, by: list[str], value: str, key: str, cuts: int = 256) -> DataFrame:
+    """rank of each row within by, largest value first, nulls last, ties by key. A group is cut into ranges of equal width, ranked within each and shifted by the sizes of those above, so a task sees a range of a group."""
+    names = [f"_by{k}" for k in range(len(by))]
+    same = lambda t: reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(t[n]) for c, n in zip(by, names, strict=True)])
+    keys = [F.col(c).alias(n) for c, n in zip(by, names, strict=True)]
+    ends = df.groupBy(*keys).agg(F.max(value).cast("double").alias("_high"), (F.max(value).cast("double") - F.min(value).cast("double")).alias("_span"))
+    # Where the span is 0 or infinite, all values are one range.
+    place = F.floor((F.col("_high") - F.col(value).cast("double")) / F.col("_span") * cuts).cast("int")
+    cut = F.when(F.col(value).isNull(), cuts + 1).when((F.col("_span") > 0) & (F.col("_span") < float("inf")), place).otherwise(0)
+    dealt = df.join(ends, same(ends)).withColumn("_cut", cut).drop(*names, "_high", "_span")
+    sizes = dealt.groupBy(*keys, F.col("_cut").alias("_at")).agg(F.count(F.lit(1)).alias("_size"))
+    # At most cuts + 2 rows a group.
+    above = sizes.withColumn("_above", F.sum("_size").over(Window.partitionBy(*names).orderBy("_at")) - F.col("_size"))
+    within = F.row_number().over(Window.partitionBy(*by, "_cut").orderBy(F.desc(value), key))
+    return dealt.withColumn("_k", within).join(above, same(above) & (F.col("_cut") == F.col("_at"))).withColumn("rank", F.col("_k") + F.col("_above")).drop(*names, "_cut", "_at", "_size", "_above", "_k")
 
 
 def mode_per(df: DataFrame, by: list[str], value: str) -> DataFrame:

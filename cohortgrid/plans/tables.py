@@ -369,14 +369,11 @@ def windowed_events(spark, sf):
     return rounded(w.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", "total"), "total", places=4)
 
 
-
-
-@query("SELECT event_type, event_id, CAST(row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS INT) AS rank FROM events WHERE event_type IN (SELECT max(event_type) FROM events) QUALIFY event_id % 10 = 0")
+@query("SELECT event_type, user_id, count(*) AS n, min(rank) AS best_rank FROM (SELECT event_type, user_id, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS rank FROM events) GROUP BY 1, 2")
 def inverse_rank(spark, sf):
-    """The rank that each member of a subset has among all rows."""
-    e = table(spark, sf, "events")
-    e = e.join(F.broadcast(e.agg(F.max("event_type").alias("event_type"))), "event_type", "left_semi")
-    return R.inverse_rank(e, ["event_type"], "value", "event_id").filter("event_id % 10 = 0").select("event_type", "event_id", "rank")
+    """The best rank that each user's events have among all events of their type."""
+    ranked = R.inverse_rank(table(spark, sf, "events").select("event_type", "event_id", "user_id", "value"), ["event_type"], "value", "event_id")
+    return ranked.groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("best_rank"))
 
 
 @query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM events")

@@ -144,3 +144,14 @@ def test_contracts_fail_loudly(spark):
     for check in (lambda: C.unique_key(d, "k"), lambda: C.dense_index(d, "k"), lambda: C.no_missing(d, "v"), lambda: C.closed_domain(d, "v", ["a"]), lambda: C.required_columns(d, {"w": None}), lambda: C.required_columns(d, {"k": "string"}), lambda: C.same_keys(d, d.filter("k = 2"), "k"), lambda: C.disjoint(d, d, "k"), lambda: C.single_row(d, F.col("k") == 0), lambda: C.gate(False, "closed"), lambda: relational.largest_groups(d.union(spark.createDataFrame([(2, "z")], d.schema)), "k", 1)):
         with pytest.raises(C.ContractError, match="^ERROR:"):
             check()
+
+
+def test_inverse_rank_against_sorting(spark):
+    values = [None, 1.0, 1.0, -3.5, 7.25, 1e300, 2.0, 2.0, None, 0.0]
+    rows = [(g, k, v) for g in ("a", None) for k, v in enumerate(values)] + [("same", k, 4.0) for k in range(5)] + [("wide", k, v) for k, v in enumerate((float("inf"), 1.0, -float("inf"), 2.0, float("nan")))]
+    got = {(r.g, r.k): r["rank"] for r in relational.inverse_rank(spark.createDataFrame(rows, "g string, k int, v double"), ["g"], "v", "k", cuts=4).collect()}
+    want = {}
+    for g in ("a", None, "same", "wide"):
+        order = sorted((r for r in rows if r[0] == g), key=lambda r: (r[2] is None, r[2] == r[2], -(r[2] or 0.0), r[1]))
+        want |= {(g, r[1]): n for n, r in enumerate(order, 1)}
+    assert got == want
