@@ -418,7 +418,7 @@ def pca_embedding(spark, sf):
 
 
 @query()
-def rf_nested_cv(spark, sf):
+def rf_single_split(spark, sf):
     return _model("forest", trees=10)(spark, sf)
 
 
