@@ -93,6 +93,16 @@ def standardise(cells: DataFrame, fitted_on: DataFrame) -> DataFrame:
     return cells.join(stats, "probe").withColumn("z", (beta() - F.col("m")) / F.col("sd")).drop("m", "sd")
 
 
+def fill_unseen(flags: DataFrame, medians: DataFrame) -> DataFrame:
+    """For trees: cells that aren't seen take the training side's median. Probes without a median are left out."""
+    return flags.join(medians, "probe").withColumn("beta", F.when(F.col("seen"), beta()).otherwise(F.col("median").cast("double"))).drop("median")
+
+
+def flag_unseen(flags: DataFrame, fitted_on: DataFrame) -> DataFrame:
+    """For nets: value, the standardised cell (0 where it isn't seen), and flag (1 where it is seen)."""
+    return standardise(flags, fitted_on).withColumn("value", F.when(F.col("seen"), F.col("z")).otherwise(0.0)).withColumn("flag", F.col("seen").cast("double")).drop("z")
+
+
 def f_statistic(cells: DataFrame) -> DataFrame:
     """One-way F per probe over the classes present; 0 where nothing varies within them."""
     per = cells.groupBy("probe", "class").agg(F.count(beta()).alias("n"), F.sum(beta()).alias("s"), F.sum(beta() * beta()).alias("q"))

@@ -60,6 +60,12 @@ def vectors(cells: DataFrame, *keep: str) -> DataFrame:
     return rows.select("sample_id", *keep, array_to_vector(F.transform("v", lambda s: s["x"])).alias("features"))
 
 
+def flagged_vectors(flags: DataFrame, *keep: str) -> DataFrame:
+    """A row per sample (and keep): all values in the order of probes, then all flags, as one vector."""
+    rows = flags.groupBy("sample_id", *keep).agg(F.array_sort(F.collect_list(F.struct("probe", "value", "flag"))).alias("v"))
+    return rows.select("sample_id", *keep, array_to_vector(F.concat(F.transform("v", lambda s: s["value"]), F.transform("v", lambda s: s["flag"]))).alias("features"))
+
+
 def class_weights(rows: DataFrame) -> DataFrame:
     """n / (K n_c) for each class."""
     per = rows.groupBy("class").agg(F.count(F.lit(1)).alias("n_c"))
@@ -84,13 +90,13 @@ def estimator(kind: str, n_features: int, n_classes: int, seed: int = 1, **more)
     raise ValueError(f"ERROR: unknown model {kind!r}")
 
 
-def fit_predict(kind: str, train: DataFrame, test: DataFrame, seed: int = 1, **more) -> DataFrame:
-    """sample_id, class, predicted, proba of the test rows."""
+def fit_predict(kind: str, train: DataFrame, test: DataFrame, seed: int = 1, by: tuple[str, ...] = (), **more) -> DataFrame:
+    """by (columns of the test rows), sample_id, class, predicted, proba of the test rows."""
     weighted = train.join(class_weights(train).select("class", "weight"), "class")
     n_features, n_classes = len(train.first()["features"]), int(train.agg(F.max("class")).first()[0]) + 1
     out = estimator(kind, n_features, n_classes, seed, **more).fit(weighted).transform(test)
     proba = vector_to_array("probability") if "probability" in out.columns else F.lit(None).cast("array<double>")
-    return out.select("sample_id", "class", F.col("prediction").cast("int").alias("predicted"), proba.alias("proba"))
+    return out.select(*by, "sample_id", "class", F.col("prediction").cast("int").alias("predicted"), proba.alias("proba"))
 
 
 def pca(rows: DataFrame, k: int) -> tuple[DataFrame, list[float]]:

@@ -42,6 +42,19 @@ def observed(cells: DataFrame, levels: list[float], seed: int = 7) -> DataFrame:
     return cells.withColumn("u", u).select("*", level.alias("level"))
 
 
+def observed_flags(cells: DataFrame, levels: list[float], seed: int = 7) -> DataFrame:
+    """Every cell at every coverage level, with seen: not missing and drawn at that level (the same draws as observed())."""
+    each = cells.withColumn("u", uniform(seed, "sample_id", "probe")).withColumn("level", F.explode(F.array(*map(F.lit, levels))))
+    return each.withColumn("seen", F.col("beta").isNotNull() & ((F.col("level") == 1.0) | (F.col("u") < F.col("level")))).drop("u")
+
+
+def masked_flags(cells: DataFrame, epochs: int, min_fraction: float = 0.001, seed: int = 9) -> DataFrame:
+    """Every cell in every epoch, with share (of the sample in that epoch, log-uniform in (min_fraction, 1]) and seen: not missing and drawn at that share."""
+    each = cells.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    each = each.withColumn("share", F.exp(uniform(f"{seed}s", "epoch", "sample_id") * F.log(F.lit(min_fraction))))
+    return each.withColumn("seen", F.col("beta").isNotNull() & (uniform(seed, "epoch", "sample_id", "probe") < F.col("share")))
+
+
 def shuffle_within(df: DataFrame, label: str, fold: str, seed: int = 1) -> DataFrame:
     """Labels change places within a fold: the row that is i-th by id takes the label of the row that is i-th by hash."""
     by_id, by_hash = (F.row_number().over(Window.partitionBy(fold).orderBy(*o)) for o in (("sample_id",), (keyed(seed, "sample_id"), "sample_id")))

@@ -394,6 +394,64 @@ def vocabulary(spark, sf):
     return samples(spark, sf).select("class").distinct().orderBy("class")
 
 
+LEVELS = [1.0, 0.5, 0.1]
+FLAGS = f""", flags AS (SELECT s.*, level, s.beta IS NOT NULL AND (level = 1.0 OR {U.format(7, 'sample_id, probe')} < level) AS seen FROM split s, (SELECT CAST(unnest([1.0, 0.5, 0.1]) AS DOUBLE) AS level))"""
+
+
+def level_flags(spark, sf):
+    """Cells of all samples at every coverage level, and medians of the training side of fold 0."""
+    both = cells(spark, sf).join(folds(spark, sf).select("sample_id", "outer_fold"), "sample_id")
+    train = both.filter("outer_fold <> 0")
+    return splits.observed_flags(both, LEVELS), train, X.fit_medians(X.keep_probes(train, X.fit_missingness(train)))
+
+
+@query(MEDIANS + FLAGS + f" SELECT level, sample_id, probe, {rsql('beta')} FROM (SELECT level, sample_id, probe, CASE WHEN seen THEN beta ELSE CAST(median AS DOUBLE) END AS beta FROM flags JOIN med USING (probe) WHERE outer_fold = 0)")
+def sparse_tree_inputs(spark, sf):
+    """What trees get at each coverage level: the training median where a cell isn't seen."""
+    flags, _, med = level_flags(spark, sf)
+    return rounded(X.fill_unseen(flags.filter("outer_fold = 0"), med).select("level", "sample_id", "probe", "beta"), "beta")
+
+
+@query(MEDIANS + FLAGS + """, st AS (SELECT probe, avg(beta) AS m, greatest(stddev_pop(beta), 1e-3) AS sd FROM train GROUP BY probe)
+ SELECT level, sample_id, probe, round(CASE WHEN seen THEN (beta - m) / sd ELSE 0.0 END, 6) + 0.0 AS value, CAST(seen AS DOUBLE) AS flag FROM flags JOIN st USING (probe) WHERE outer_fold = 0""")
+def sparse_net_inputs(spark, sf):
+    """What nets get at each coverage level: the standardised value or 0, and a flag."""
+    flags, train, _ = level_flags(spark, sf)
+    return rounded(X.flag_unseen(flags.filter("outer_fold = 0"), train).select("level", "sample_id", "probe", "value", "flag"), "value")
+
+
+@query(CELLS + f""", e AS (SELECT c.*, epoch, exp({U.format('9s', 'epoch, sample_id')} * ln(0.001)) AS share, {U.format(9, 'epoch, sample_id, probe')} AS u FROM cells c, (SELECT CAST(unnest(range(3)) AS INT) AS epoch))
+ SELECT epoch, sample_id, round(any_value(share), 6) + 0.0 AS share, count(*) FILTER (WHERE beta IS NOT NULL AND u < share) AS n_seen FROM e GROUP BY epoch, sample_id""")
+def masked_shares(spark, sf):
+    """The share of cells that masked training shows of each sample in each epoch, and the number that it shows."""
+    m = splits.masked_flags(cells(spark, sf), 3).groupBy("epoch", "sample_id").agg(F.first("share").alias("share"), F.count_if("seen").alias("n_seen"))
+    return rounded(m, "share")
+
+
+@query(MEDIANS + """, r AS (SELECT *, row_number() OVER (PARTITION BY outer_fold ORDER BY sample_id) AS i, row_number() OVER (PARTITION BY outer_fold ORDER BY md5('1|' || sample_id), sample_id) AS j FROM outers),
+ lab AS (SELECT a.sample_id, b.class AS y FROM r a JOIN r b ON a.outer_fold = b.outer_fold AND a.i = b.j), fc AS (SELECT f.sample_id, f.outer_fold, y, probe, beta FROM filled f JOIN lab USING (sample_id)), tr AS (SELECT * FROM fc WHERE outer_fold <> 0),
+ each AS (SELECT 'all' AS scope, * FROM fc UNION ALL SELECT 'train', * FROM tr), per AS (SELECT scope, probe, y, count(*) AS n, sum(beta) AS s, sum(beta * beta) AS q FROM each GROUP BY ALL),
+ f AS (SELECT scope, probe, ((sum(s * s / n) - sum(s) * sum(s) / sum(n)) / (count(*) - 1)) / ((sum(q) - sum(s * s / n)) / (sum(n) - count(*))) AS f FROM per GROUP BY scope, probe),
+ pick AS (SELECT scope, probe FROM f QUALIFY row_number() OVER (PARTITION BY scope ORDER BY round(f, 9) DESC, probe) <= 10),
+ cent AS (SELECT y, probe, avg(beta) AS mean FROM tr GROUP BY 1, 2), df AS (SELECT greatest(count(DISTINCT sample_id) - count(DISTINCT y), 1) AS df FROM tr),
+ vars AS (SELECT probe, sum((beta - mean) * (beta - mean)) / max(df) + 1e-4 AS var FROM tr JOIN cent USING (y, probe), df GROUP BY probe),
+ dist AS (SELECT scope, t.sample_id, t.y AS truth, c.y, sum(-2 * beta * mean / var + mean * mean / var) AS d, count(*) AS n FROM fc t JOIN pick USING (probe) JOIN cent c USING (probe) JOIN vars USING (probe) WHERE outer_fold = 0 GROUP BY 1, 2, 3, 4),
+ ex AS (SELECT *, exp(-0.5 * (d - min(d) OVER (PARTITION BY scope, sample_id)) / n) AS e FROM dist), sc AS (SELECT scope, sample_id, truth, y, round(e / sum(e) OVER (PARTITION BY scope, sample_id), 9) AS p FROM ex), top AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY scope, sample_id ORDER BY p DESC, y) = 1)
+ SELECT scope, count(*) AS n, count(*) FILTER (WHERE y = truth) AS n_correct FROM top GROUP BY scope""")
+def leakage_models(spark, sf):
+    """Centroids fitted on shuffled labels of the training side, on probes selected by all rows or by the training side only: what the first adds on held-out rows is leakage."""
+    every, _ = filled(spark, sf)
+    shuffled = splits.shuffle_within(folds(spark, sf), "class", "outer_fold").select("sample_id", F.col("shuffled").alias("class"))
+    every = every.drop("class").join(shuffled, "sample_id")
+    train, held = every.filter("outer_fold <> 0"), every.filter("outer_fold = 0")
+    top = lambda c: X.f_statistic(c).orderBy(F.desc(F.round("f", 9)), "probe").limit(10).select("probe")
+    # Twenty rows at most.
+    picked = top(every).withColumn("scope", F.lit("all")).unionByName(top(train).withColumn("scope", F.lit("train")))
+    distances = models.centroid_distances(held.join(F.broadcast(picked), "probe"), models.fit_centroids(train), "scope")
+    predicted = models.top_class(models.centroid_scores(distances, "scope"), "scope").join(shuffled, "sample_id")
+    return predicted.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("predicted") == F.col("class")).alias("n_correct"))
+
+
 # Without SQL: models fitted by Spark ML, checked in tests on planted signals.
 
 
@@ -468,11 +526,36 @@ def random_search(spark, sf):
     return spark.createDataFrame([(k, r["n_features"], float(r["floor"]), r["kind"]) for k, r in enumerate(found)], "trial int, n_features int, floor double, kind string")
 
 
+@query()
+def sparse_forest(spark, sf):
+    """A forest fitted on fully covered samples, asked at every coverage level."""
+    flags, train, med = level_flags(spark, sf)
+    seen = X.fill_unseen(flags.filter("outer_fold = 0"), med)
+    fitted_on = models.vectors(X.impute(train, med), "class")
+    return models.fit_predict("forest", fitted_on, models.vectors(seen, "class", "level"), by=("level",), trees=10).select("level", "sample_id", "class", "predicted")
+
+
+@query()
+def masked_net(spark, sf):
+    """A perceptron fitted on copies of the training samples under masked_flags(), one an epoch, asked at every coverage level."""
+    flags, train, _ = level_flags(spark, sf)
+    copies = X.flag_unseen(splits.masked_flags(train, 3), train)
+    held = X.flag_unseen(flags.filter("outer_fold = 0"), train)
+    return models.fit_predict("net", models.flagged_vectors(copies, "class", "epoch"), models.flagged_vectors(held, "class", "level"), by=("level",), iterations=10).select("level", "sample_id", "class", "predicted")
+
+
 @query()
 def material_detector(spark, sf):
-    """Material predicted for held-out classes, before correction: AUC per class."""
+    """Material predicted for held-out classes, before and after correction: AUC per class."""
     every, _ = filled(spark, sf)
-    v = models.vectors(every.withColumn("kind", (F.col("material") == "FFPE").cast("int")), "class", "kind").withColumnsRenamed({"class": "group", "kind": "class"})
-    train, test = v.filter("group % 3 <> 0"), v.filter("group % 3 = 0")
-    out = models.fit_predict("logistic", train, test, c=0.1, iterations=20)
-    return M.auc(out.withColumn("s", F.col("proba")[1]).join(test.select("sample_id", "group"), "sample_id"), "s", "class", "group")
+    # The shift is fitted on the detector's own training classes, so that nothing of the held-out ones enters it.
+    moved = X.correct(every, X.fit_shift(every.filter("class % 3 <> 0")))
+
+    def auc(of, corrected):
+        v = models.vectors(of.withColumn("kind", (F.col("material") == "FFPE").cast("int")), "class", "kind").withColumnsRenamed({"class": "group", "kind": "class"})
+        train, test = v.filter("group % 3 <> 0"), v.filter("group % 3 = 0")
+        out = models.fit_predict("logistic", train, test, c=0.1, n=train.count(), iterations=20)
+        got = M.auc(out.withColumn("s", F.col("proba")[1]).join(test.select("sample_id", "group"), "sample_id"), "s", "class", "group")
+        return got.withColumn("corrected", F.lit(corrected))
+
+    return auc(every, False).unionByName(auc(moved, True))

@@ -155,3 +155,26 @@ def test_inverse_rank_against_sorting(spark):
         order = sorted((r for r in rows if r[0] == g), key=lambda r: (r[2] is None, r[2] == r[2], -(r[2] or 0.0), r[1]))
         want |= {(g, r[1]): n for n, r in enumerate(order, 1)}
     assert got == want
+
+
+def test_unseen_cells_take_the_training_median_or_a_flag(spark):
+    train = cells(spark, [(s, 0, "FFPE", p, v) for s, v in enumerate([0.2, 0.4, 0.6]) for p in (0, 1)])
+    held = cells(spark, [(9, 0, "FFPE", 0, 0.9), (9, 0, "FFPE", 1, None)])
+    flags = splits.observed_flags(held, [1.0, 0.0])
+    tree = {(r.level, r.probe): r.beta for r in X.fill_unseen(flags, X.fit_medians(train)).collect()}
+    assert tree == pytest.approx({(1.0, 0): 0.9, (1.0, 1): 0.4, (0.0, 0): 0.4, (0.0, 1): 0.4}, abs=1e-6)
+    net = {(r.level, r.probe): (r.value, r.flag) for r in X.flag_unseen(flags, train).collect()}
+    assert net[1.0, 0] == pytest.approx((0.5 / (0.08 / 3) ** 0.5, 1.0)) and net[1.0, 1] == net[0.0, 0] == net[0.0, 1] == (0.0, 0.0)
+    v = models.flagged_vectors(X.flag_unseen(flags, train), "level").filter("level = 1.0").first()["features"]
+    assert list(v[1:]) == [0.0, 1.0, 0.0]
+
+
+def test_masked_training_shares_are_log_uniform_and_redrawn_each_epoch(spark):
+    many = cells(spark, [(s, 0, "FFPE", p, 0.5) for s in range(300) for p in range(20)])
+    shown = splits.masked_flags(many, 2).groupBy("epoch", "sample_id").agg(F.first("share").alias("share"), F.avg(F.col("seen").cast("int")).alias("got")).collect()
+    shares = [r.share for r in shown]
+    assert 0.001 <= min(shares) and max(shares) <= 1.0
+    assert 0.4 < sum(x < 0.001**0.5 for x in shares) / len(shares) < 0.6
+    assert sum(r.got for r in shown) / len(shown) == pytest.approx(sum(shares) / len(shares), abs=0.02)
+    by = {(r.epoch, r.sample_id): r.share for r in shown}
+    assert all(by[0, s] != by[1, s] for s in range(300))
