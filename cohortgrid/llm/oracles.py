@@ -52,4 +52,10 @@ QUALITY = f"""WITH d AS (SELECT doc_id, coalesce(source, chr(0) || 'null') AS ho
 EXACT = f"""WITH t AS (SELECT doc_id, {FOLD} AS t FROM documents), g AS (SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, sha256(t) AS text_sha256 FROM t)
  SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g"""
 
-ORACLES: dict[str, str] = {"op1_license_scan": license_sql(), "op2_chat_format": CHAT, "op3_warc": WARC, "op5_quality_rules": QUALITY, "op6_exact_dedup": EXACT}
+FIM = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents), u AS (SELECT *, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS w FROM d),
+ g AS (SELECT *, CAST(len(w) AS BIGINT) AS n, [CAST('0x' || substr(h, 8 * k + 1, 8) AS BIGINT) for k in range(4)] AS x FROM u), c AS (SELECT *, least(x[1] % (n + 1), x[2] % (n + 1)) AS a, greatest(x[1] % (n + 1), x[2] % (n + 1)) AS b FROM g),
+ f AS (SELECT *, CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR x[3] % 100 >= 90 THEN 'plain' WHEN x[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form, coalesce(array_to_string(w[1 : a], ''), '') AS p, coalesce(array_to_string(w[a + 1 : b], ''), '') AS m, coalesce(array_to_string(w[b + 1 : n], ''), '') AS s FROM c)
+ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(CASE form WHEN 'plain' THEN t ELSE p || m || s END) AS restored_sha256 FROM f"""
+
+ORACLES: dict[str, str] = {"op1_license_scan": license_sql(), "op2_chat_format": CHAT, "op3_warc": WARC, "op5_quality_rules": QUALITY, "op6_exact_dedup": EXACT, "op13_fill_in_middle": FIM}

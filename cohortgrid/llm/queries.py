@@ -10,6 +10,7 @@ from .byte_bpe import byte_bpe
 from .chat_format import format_turns, read_back
 from .common import table
 from .exact_dedup import exact_dedup
+from .fill_in_middle import digests, fill_in_middle
 from .license_scan import license_scan
 from .mixing import mix
 from .near_dedup import near_dedup
@@ -67,6 +68,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("_row")
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(fill_in_middle(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
