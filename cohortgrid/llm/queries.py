@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .byte_bpe import byte_bpe
 from .chat_format import format_turns, read_back
 from .common import table
+from .conversation_repair import damage, repair
 from .exact_dedup import exact_dedup
 from .fill_in_middle import digests, fill_in_middle
 from .license_scan import license_scan
@@ -68,6 +69,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("_row")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(damage(table(spark, sf_dir, "conversations")))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(fill_in_middle(table(spark, sf_dir, "documents")))
 
