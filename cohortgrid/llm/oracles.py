@@ -58,4 +58,31 @@ FIM = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coale
  SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(CASE form WHEN 'plain' THEN t ELSE p || m || s END) AS restored_sha256 FROM f"""
 
-ORACLES: dict[str, str] = {"op1_license_scan": license_sql(), "op2_chat_format": CHAT, "op3_warc": WARC, "op5_quality_rules": QUALITY, "op6_exact_dedup": EXACT, "op13_fill_in_middle": FIM}
+def repair_sql() -> str:
+    """Backward over the turns by recursion: f0 to f3 are what is cheapest from each state on, as (cost, edits, turns), which compare in that order."""
+    table = "list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END))"  # CRC-32, a byte at a time
+    to, kept = (2, 2, 3, 2), {0: ((0, 1), (1, 2)), 1: ((1, 2),), 2: ((2, 3),), 3: ((1, 2),)}
+    turn = lambda s: "chr(10) || 'assistant:'" if to[s] == 3 else "chr(10) || 'user:'"
+    then = lambda cost, letters, turns, at: f"struct_pack(c := {at}.c + {cost}, a := '{letters}' || {at}.a, p := {turns} || {at}.p)"
+    ends = ", ".join(f"struct_pack(c := {c}, a := {a}, p := {p}) AS f{k}" for k, (c, a, p) in enumerate([(0, "''", "''"), (4, "'II'", f"{turn(1)} || {turn(2)}"), (2, "'I'", turn(2)), (0, "''", "''")]))
+
+    def stepped(s: int) -> str:
+        stays = [("2 + (fault = 3)::INT", "R", f"{turn(s)} || text", to[s], "TRUE"), *[("(fault = 3)::INT", "K", "chr(10) || role || ':' || text", t, f"code = {c}") for c, t in kept[s]]]
+        found = [then(3, "D", "''", f"f{s}"), *[f"CASE WHEN fault NOT IN (1, 2) AND {ok} THEN {then(cost, letter, turns, f'f{t}')} END" for cost, letter, turns, t, ok in stays]]
+        return f"list_min(list_filter([{', '.join(found)}], lambda x: x IS NOT NULL)) AS g{s}"
+
+    inserted = lambda s: f"least(g{s}, {then(2, 'I', turn(s), f'g{to[s]}')}, {then(4, 'II', f'{turn(s)} || {turn(to[s])}', f'g{to[to[s]]}')}) AS f{s}"
+    return f"""WITH RECURSIVE t AS MATERIALIZED (SELECT {table} AS t),
+ x AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(list_concat([4294967295], list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, b: xor(t[CAST(xor(a, b) & 255 AS INT) + 1], a >> 8)), 4294967295) % 20 AS act FROM conversations, t),
+ d AS (SELECT conv_id, turn, CASE WHEN act = 4 THEN 'user' ELSE role END AS role, CASE act WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, copy FROM x, unnest(range(CASE WHEN act = 3 THEN 2 ELSE 1 END)) AS u(copy) WHERE act <> 0),
+ b AS (SELECT *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS k, coalesce(position(substr(role, 1, 1) IN 'sua'), 0) AS letter FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
+ r AS MATERIALIZED (SELECT conv_id, turn, i, n, role, text, CASE WHEN role = '' OR letter = 0 THEN 3 ELSE letter - 1 END AS code, CASE WHEN body = '' THEN 1 WHEN k > 1 THEN 2 WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault FROM b),
+ f AS (SELECT conv_id, n AS i, {ends} FROM (SELECT conv_id, max(n) AS n FROM r GROUP BY conv_id) UNION ALL
+  SELECT conv_id, i - 1, {', '.join(map(inserted, range(4)))} FROM (SELECT f.conv_id, f.i, {', '.join(map(stepped, range(4)))} FROM f JOIN r ON r.conv_id IS NOT DISTINCT FROM f.conv_id AND r.i = f.i)),
+ s AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 1) AS blank, count(*) FILTER (WHERE fault = 2) AS duplicate, count(*) FILTER (WHERE fault = 3) AS truncated, count(*) FILTER (WHERE before IS NOT NULL AND NOT (before = 0 AND code = 1 OR before = 1 AND code = 2 OR before = 2 AND code = 1)) AS illegal
+  FROM (SELECT *, lag(code) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM r) GROUP BY conv_id)
+ SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(f0.c, 0) AS BIGINT) AS cost, coalesce(f0.a, '') AS audit, sha256(coalesce(substr(f0.p, 2), '')) AS repaired_sha256
+ FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM o.conv_id AND f.i = 0"""
+
+
+ORACLES: dict[str, str] = {"op1_license_scan": license_sql(), "op2_chat_format": CHAT, "op3_warc": WARC, "op5_quality_rules": QUALITY, "op6_exact_dedup": EXACT, "op12_conversation_repair": repair_sql(), "op13_fill_in_middle": FIM}
