@@ -17,6 +17,7 @@ from .mixing import mix
 from .near_dedup import near_dedup
 from .pii import find_pii
 from .quality_rules import quality_rules
+from .rule_ensemble import classify
 from .substring_dedup import substring_dedup
 from .warc import read_warc, write_warc
 
@@ -69,6 +70,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("_row")
 
 
+def op11_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0]
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(damage(table(spark, sf_dir, "conversations")))
 
