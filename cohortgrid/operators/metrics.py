@@ -14,10 +14,10 @@ from .models import top_class
 BINS, SURE = 15, 0.9
 
 
-def scored_rows(scores: DataFrame, truth: DataFrame) -> DataFrame:
-    """scores: sample_id, class, p; truth: sample_id, truth."""
-    sums = scores.join(truth, "sample_id").groupBy("sample_id", "truth").agg((F.sum(F.col("p") * F.col("p")) - 2 * F.max(F.when(F.col("class") == F.col("truth"), F.col("p"))) + 1).alias("brier"), F.max(F.when(F.col("class") == F.col("truth"), F.col("p"))).alias("p_true"))
-    return sums.join(top_class(scores), "sample_id").withColumn("correct", (F.col("truth") == F.col("predicted")).cast("int"))
+def scored_rows(scores: DataFrame, truth: DataFrame, *by: str) -> DataFrame:
+    """scores: by, sample_id, class, p; truth: sample_id, truth."""
+    sums = scores.join(truth, "sample_id").groupBy(*by, "sample_id", "truth").agg((F.sum(F.col("p") * F.col("p")) - 2 * F.max(F.when(F.col("class") == F.col("truth"), F.col("p"))) + 1).alias("brier"), F.max(F.when(F.col("class") == F.col("truth"), F.col("p"))).alias("p_true"))
+    return sums.join(top_class(scores, *by), [*by, "sample_id"]).withColumn("correct", (F.col("truth") == F.col("predicted")).cast("int"))
 
 
 def confusion(scored: DataFrame, *by: str) -> DataFrame:
