@@ -81,6 +81,25 @@ def fit_top_variance(cells: DataFrame, k: int, *by: str) -> DataFrame:
     return var.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= k).drop("rank")
 
 
+def by_split(cells: DataFrame, splits: DataFrame, n_probes: int, max_missing: float = 0.05, correct_material: bool = False, first: str = "FFPE") -> tuple[DataFrame, DataFrame]:
+    """The feature pipeline for many splits at once. splits: s, sample_id, held (a sample is on one side of each split that has it).
+
+    Gives s, sample_id, class, held, x (values in the order of probes), and the probes of each split (s, probe). All that is fitted is fitted per split on rows that aren't held out. Splits that lack probes or a material stop the run as they are computed.
+    """
+    each = cells.join(splits, "sample_id")
+    train = each.filter(~F.col("held"))
+    medians = fit_medians(keep_probes(train, fit_missingness(train, max_missing, "s"), "s"), "s")
+    filled = impute(each, medians, "s")
+    if correct_material:
+        shift = fit_shift(filled.filter(~F.col("held")), first, 2, "s")
+        known = F.coalesce(F.col("shift"), F.raise_error(F.lit("ERROR: no class of a split has two samples of each material")).cast("float"))
+        filled = filled.join(shift, ["s", "probe"], "left").withColumn("beta", F.when(F.col("material") == first, clip(beta() - known, 0.0, 1.0)).otherwise(F.when(known.isNotNull(), beta()))).drop("shift")
+    probes = fit_top_variance(filled.filter(~F.col("held")), n_probes, "s").select("s", "probe")
+    rows = keep_probes(filled, probes, "s").groupBy("s", "sample_id", "class", "held").agg(F.array_sort(F.collect_list(F.struct("probe", beta().alias("x")))).alias("v"))
+    x = F.when(F.size("v") == n_probes, F.transform("v", lambda c: c["x"])).otherwise(F.raise_error(F.lit(f"ERROR: fewer than {n_probes} probes are left in a split")).cast("array<double>"))
+    return rows.select("s", "sample_id", "class", "held", x.alias("x")), probes
+
+
 def leave_one_out(differences: DataFrame) -> DataFrame:
     """Per class and probe: the weighted mean over the other classes, null where there is none."""
     all_w, all_s = (F.sum(x).over(Window.partitionBy("probe")) for x in (F.col("weight"), F.col("weight") * F.col("diff")))

@@ -81,6 +81,19 @@ def summary(scored: DataFrame, *by: str) -> DataFrame:
     return out.drop("_one")
 
 
+#: Scores of which less is better.
+SCORES_BETTER_LOW = ("log_loss",)
+
+
+def fold_scores(scores: DataFrame, truth: DataFrame, *by: str) -> DataFrame:
+    """scores: by, sample_id, class, p. by, n, accuracy, macro_f1, balanced_accuracy and log_loss (of scores over their sum)."""
+    rows = scored_rows(scores, truth, *by)
+    total = scores.groupBy(*by, "sample_id").agg(F.sum("p").alias("total"))
+    p = F.least(F.greatest(F.col("p_true") / F.col("total"), F.lit(1e-15)), F.lit(1 - 1e-15))
+    loss = rows.join(total, [*by, "sample_id"]).groupBy(*by).agg(F.avg(-F.log(p)).alias("log_loss"))
+    return summary(rows, *by).select(*by, "n", "accuracy", "macro_f1", "balanced_accuracy").join(loss, list(by))
+
+
 METRICS = ("macro_f1", "balanced_accuracy", "accuracy", "brier", "ece", "confident_share", "confident_accuracy")
 
 

@@ -9,7 +9,7 @@ the number of folds, and nothing of a held-out fold enters its fit.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metrics import per_class
@@ -35,8 +35,8 @@ def training_moments(cells: DataFrame, dealt: DataFrame) -> DataFrame:
     return rest.groupBy("k", "j", "class", "probe").agg(*[F.sum(c).alias(c) for c in "nsq"])
 
 
-def fold_centroids(cells: DataFrame, dealt: DataFrame) -> DataFrame:
-    """k, j, class, probe, mean, var (pooled within classes, floored) and rank: the probe's place by total variance, ties to the lower probe."""
+def fold_centroids(cells: DataFrame, dealt: DataFrame, floor: Column | float = VAR_FLOOR) -> DataFrame:
+    """k, j, class, probe, mean, var (pooled within classes, plus floor, which may go by k) and rank: the probe's place by total variance, ties to the lower probe."""
     m = training_moments(cells, dealt)
     labelled = dealt.join(cells.select("sample_id", "class").distinct(), "sample_id").groupBy("k", "j", "class").agg(F.count(F.lit(1)).alias("n"))
     size = labelled.withColumn("rest", F.sum("n").over(Window.partitionBy("k", "class")) - F.col("n")).groupBy("k", "j").agg(F.greatest(F.sum("rest") - F.count_if(F.col("rest") > 0), F.lit(1)).alias("df"))
@@ -44,13 +44,13 @@ def fold_centroids(cells: DataFrame, dealt: DataFrame) -> DataFrame:
     every = m.groupBy("k", "j", "probe").agg(F.sum(F.col("q") - s2 / F.col("n")).alias("ss"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
     spread = F.round((F.col("q") - s2 / F.col("n")) / (F.col("n") - 1), 9)
     probes = every.join(size, ["k", "j"]).withColumn("rank", F.row_number().over(Window.partitionBy("k", "j").orderBy(F.desc(spread), "probe")))
-    probes = probes.select("k", "j", "probe", "rank", (F.col("ss") / F.col("df") + VAR_FLOOR).alias("var"))
+    probes = probes.select("k", "j", "probe", "rank", (F.col("ss") / F.col("df") + floor).alias("var"))
     return m.withColumn("mean", F.col("s") / F.col("n")).select("k", "j", "class", "probe", "mean").join(probes, ["k", "j", "probe"])
 
 
-def held_out_distances(cells: DataFrame, dealt: DataFrame, sizes: list[int] | None = None) -> DataFrame:
+def held_out_distances(cells: DataFrame, dealt: DataFrame, sizes: list[int] | None = None, floor: Column | float = VAR_FLOOR) -> DataFrame:
     """k, j, (setting: the probes of largest variance that are used), sample_id, class: the distance of held-out samples over observed probes, and n_obs."""
-    c = fold_centroids(cells, dealt)
+    c = fold_centroids(cells, dealt, floor)
     by = ["setting"] if sizes else []
     if sizes:
         c = c.withColumn("setting", F.explode(F.filter(F.array(*map(F.lit, sizes)), lambda n: n >= F.col("rank"))))
@@ -59,9 +59,9 @@ def held_out_distances(cells: DataFrame, dealt: DataFrame, sizes: list[int] | No
     return held.join(c, ["k", "j", "probe"]).groupBy("k", "j", *by, "sample_id", "class").agg(F.sum(term).alias("distance"), F.count(F.lit(1)).alias("n_obs"))
 
 
-def held_out_classes(cells: DataFrame, dealt: DataFrame, sizes: list[int]) -> DataFrame:
+def held_out_classes(cells: DataFrame, dealt: DataFrame, sizes: list[int], floor: Column | float = VAR_FLOOR) -> DataFrame:
     """k, j, setting, sample_id, predicted: the nearest class, ties to the lower one."""
-    d = held_out_distances(cells, dealt, sizes)
+    d = held_out_distances(cells, dealt, sizes, floor)
     return d.groupBy("k", "j", "setting", "sample_id").agg(F.min_by("class", F.struct(F.round("distance", 6), "class")).alias("predicted"))
 
 
@@ -77,6 +77,18 @@ def select_settings(scores: DataFrame) -> DataFrame:
     return best_per(mean, ["outer"], F.desc("mean_f1"), F.asc("setting"))
 
 
+def centroid_objective(cells: DataFrame, folds: DataFrame, truth: DataFrame):
+    """For search.search(): the mean inner macro F1 of each outer fold's values (n_probes, floor), all folds in one plan."""
+
+    def objective(asked: dict[int, dict]) -> dict[int, float]:
+        floor, size = (F.create_map(*[F.lit(x) for k, v in asked.items() for x in (k, v[name])]) for name in ("floor", "n_probes"))
+        dealt = inner_dealt(folds).filter(F.col("k").isin(list(asked)))
+        found = held_out_classes(cells, dealt, sorted({v["n_probes"] for v in asked.values()}), F.element_at(floor, F.col("k"))).filter(F.col("setting") == F.element_at(size, F.col("k")))
+        return {r["k"]: r["score"] for r in setting_scores(found, truth).groupBy("k").agg(F.avg("macro_f1").alias("score")).collect()}
+
+    return objective
+
+
 def sharpened(scores: DataFrame, powers: list[float]) -> DataFrame:
     """scores: fold, sample_id, class, p. With each power: p to that power, normalised again."""
     each = scores.select("fold", "sample_id", "class", "p", F.explode(F.array(*map(F.lit, powers))).alias("power")).withColumn("e", F.pow(F.greatest("p", F.lit(1e-9)), "power"))
