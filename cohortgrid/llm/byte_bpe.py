@@ -39,6 +39,8 @@ from .common import keyed, written
 
 #: Code points a chunk advances, and how far it reads on into the next; code points from which a text's chunks are spread.
 CHUNK, OVERLAP, LONG = 4_000, 400, 40_000
+#: Chunks of a text that are cut off at once.
+CUT = 64
 #: What a pre-token's end may depend on behind it (the longest contraction).
 LOOK = 4
 #: Pre-tokens whose ids a worker remembers.
@@ -160,6 +162,19 @@ def _texts(encode, ranks: str, pattern: str):
     return run
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's chunks in one walk over it, a few at a time."""
+    for b in batches:
+        for k in range(b.num_rows):
+            text = b.column(2)[k].as_py()
+            n = n_chunks(len(text))
+            for first in range(0, n, CUT):
+                at = range(first, min(first + CUT, n))
+                chunks = pa.array([text[i * CHUNK : (i + 1) * CHUNK + OVERLAP] for i in at], pa.string())
+                again = pa.array([k] * len(at), pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(again), b.column(1).take(again), pa.array(at, pa.int32()), chunks], ["_row", "_id", "at", "chunk"])
+
+
 def _chunks(ranks: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(ranks, pattern)
@@ -197,9 +212,7 @@ def byte_bpe(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
     ranks, kind = PurePath(ranks_path).name, dict(docs.dtypes)[id_col]
     rows = keyed(docs, _id=F.col(id_col), _t=F.coalesce(F.col(text_col), F.lit("")))
     short, long = rows.filter(F.length("_t") <= LONG), rows.filter(F.length("_t") > LONG)
-    last = F.ceil((F.length("_t") - OVERLAP) / CHUNK).cast("int") - 1
-    cuts = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("at"), F.substring("_t", i * CHUNK + 1, F.lit(CHUNK + OVERLAP)).alias("chunk")))
-    chunks = long.select("_row", "_id", F.inline(cuts)).repartition("_row", "at")
+    chunks = long.mapInArrow(_cut, f"_row long, _id {kind}, at int, chunk string").repartition("_row", "at")
     parts = chunks.mapInArrow(_chunks(ranks, pattern), f"_row long, _id {kind}, at int, ids binary, ends binary, counts binary, upto long")
     ordered = parts.repartition("_row").sortWithinPartitions("_row", "at")
     spread = written(ordered.mapInArrow(_stitch(ranks, pattern), OUT.format(kind)), "bpe-long")
