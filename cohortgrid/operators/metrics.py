@@ -97,6 +97,18 @@ def fold_scores(scores: DataFrame, truth: DataFrame, *by: str) -> DataFrame:
 METRICS = ("macro_f1", "balanced_accuracy", "accuracy", "brier", "ece", "confident_share", "confident_accuracy")
 
 
+def counted(cells: DataFrame, *by: str) -> DataFrame:
+    """cells: by, truth, predicted, k (so many rows). by, accuracy, balanced_accuracy, macro_f1, from a confusion table instead of rows."""
+    side = lambda c, n, q, hit: F.struct(F.col(c).alias("class"), n.alias("n"), q.alias("q"), hit.alias("hit"))
+    k, none = F.col("k"), F.lit(0).cast("long")
+    each = cells.select(*by, F.explode(F.array(side("truth", k, none, F.when(F.col("truth") == F.col("predicted"), k).otherwise(none)), side("predicted", none, k, none))).alias("s")).select(*by, "s.*")
+    per = each.groupBy(*by, "class").agg(*[F.sum(c).alias(c) for c in ("n", "q", "hit")])
+    present = F.col("n") > 0
+    return per.groupBy(*by).agg(
+        (F.sum("hit") / F.sum("n")).alias("accuracy"), F.avg(F.when(present, F.col("hit") / F.col("n"))).alias("balanced_accuracy"), F.avg(F.when(present, 2 * F.col("hit") / (F.col("n") + F.col("q")))).alias("macro_f1")
+    )
+
+
 def by_group(scored: DataFrame, group: str) -> DataFrame:
     """summary() of all rows (group "all") and of each group."""
     both = scored.withColumn("group", F.explode(F.array(F.lit("all"), F.col(group).cast("string"))))
@@ -104,7 +116,7 @@ def by_group(scored: DataFrame, group: str) -> DataFrame:
 
 
 def long_metrics(table: DataFrame, *by: str) -> DataFrame:
-    return table.unpivot(list(by), list(METRICS), "metric", "value")
+    return table.unpivot(list(by), [m for m in METRICS if m in table.columns], "metric", "value")
 
 
 def intervals(draws: DataFrame, *by: str, ci: float = 0.95) -> DataFrame:
@@ -134,8 +146,8 @@ def auc(df: DataFrame, score: str, positive: str, *by: str) -> DataFrame:
     return ranked.groupBy(*by).agg(ratio(wins, F.sum("pos") * F.sum(F.col("n") - F.col("pos"))).alias("auc"), F.sum("n").alias("n"), F.sum("pos").alias("n_positive"))
 
 
-def paired_difference(first: DataFrame, second: DataFrame) -> DataFrame:
-    """first, second: b and metrics of two models on the same draws. Mean difference, interval, share of draws above 0."""
-    a, c = long_metrics(first, "b"), long_metrics(second, "b").withColumnRenamed("value", "other")
-    d = a.join(c, ["b", "metric"]).withColumn("d", F.col("value") - F.col("other")).filter("d is not null")
-    return d.groupBy("metric").agg(F.avg("d").alias("mean_difference"), F.percentile("d", 0.025).alias("ci_low"), F.percentile("d", 0.975).alias("ci_high"), F.avg((F.col("d") > 0).cast("int")).alias("share_above"))
+def paired_difference(first: DataFrame, second: DataFrame, *by: str) -> DataFrame:
+    """first, second: by, b and metrics of two models on the same draws. Mean difference, interval, share of draws above 0."""
+    a, c = long_metrics(first, *by, "b"), long_metrics(second, *by, "b").withColumnRenamed("value", "other")
+    d = a.join(c, [*by, "b", "metric"]).withColumn("d", F.col("value") - F.col("other")).filter("d is not null")
+    return d.groupBy(*by, "metric").agg(F.avg("d").alias("mean_difference"), F.percentile("d", 0.025).alias("ci_low"), F.percentile("d", 0.975).alias("ci_high"), F.avg((F.col("d") > 0).cast("int")).alias("share_above"))

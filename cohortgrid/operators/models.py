@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .contracts import none_of
+from .contracts import classes_present, none_of
 
 VAR_FLOOR = 1e-4
 def beta() -> Column:
@@ -66,8 +66,10 @@ def flagged_vectors(flags: DataFrame, *keep: str) -> DataFrame:
     return rows.select("sample_id", *keep, array_to_vector(F.concat(F.transform("v", lambda s: s["value"]), F.transform("v", lambda s: s["flag"]))).alias("features"))
 
 
-def class_weights(rows: DataFrame) -> DataFrame:
-    """n / (K n_c) for each class."""
+def class_weights(rows: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+    """n / (K n_c) for each class. With classes (class): a class that no row has is an error."""
+    if classes is not None:
+        classes_present(rows, classes, "class")
     per = rows.groupBy("class").agg(F.count(F.lit(1)).alias("n_c"))
     w = Window.partitionBy(F.lit(1))
     return per.select("class", "n_c", (F.sum("n_c").over(w) / (F.count(F.lit(1)).over(w) * F.col("n_c"))).alias("weight"))

@@ -101,6 +101,14 @@ def summary_sql(source: str, by: str) -> str:
  JOIN (SELECT {by}, sum(off) / sum(n_bin) AS ece FROM (SELECT {by}, least(floor(confidence * 15), 14) AS bin, count(*) AS n_bin, abs(sum(correct) - sum(confidence)) AS off FROM {source} GROUP BY {by}, bin) GROUP BY {by}) {on}"""
 
 
+#: SQL of a hashed uniform, from seed and columns.
+U = "(CAST(('0x' || substr(md5(concat_ws('|', '{}', {})), 1, 8)) AS BIGINT) / 4294967296.0)"
+#: Resamples of the registered queries.
+DRAWN = 200
+DRAWS = """, numbered AS (SELECT *, row_number() OVER (ORDER BY floor(""" + U.format("row", "sample_id") + """ * 256), sample_id) - 1 AS i, count(*) OVER () AS nn FROM {src}),
+ drawn AS (SELECT b, CAST(floor(""" + U.format(0, "b, i") + """ * nn) AS BIGINT) AS i FROM numbered, (SELECT unnest(range(200)) AS b)), boot AS (SELECT b, n.* FROM drawn JOIN numbered n USING (i))"""
+
+
 def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, places) + 0.0 for c in columns})
 

@@ -10,7 +10,7 @@ from ..operators import features as X
 from ..operators import metrics as M
 from ..operators import models, relational, splits
 from ..sources.tables import in_request_order
-from .base import CELLS, CENTROIDS, FOLDS, INNER, SAMPLES, SCORED, SCORES, SPLIT, TOP, cells, folds, query, rounded, rsql, samples, scored, split_cells, summary_sql, test_scores, truth
+from .base import CELLS, CENTROIDS, DRAWN, DRAWS, FOLDS, INNER, SAMPLES, SCORED, SCORES, SPLIT, TOP, U, cells, folds, query, rounded, rsql, samples, scored, split_cells, summary_sql, test_scores, truth
 
 KEPT = ", kept AS (SELECT probe FROM train GROUP BY probe HAVING avg(CAST(beta IS NULL AS INT)) <= 0.05)"
 MEDIANS = SPLIT + KEPT + ", med AS (SELECT probe, CAST(median(beta) AS FLOAT) AS median FROM train JOIN kept USING (probe) GROUP BY probe), filled AS (SELECT s.* EXCLUDE (beta), coalesce(beta, CAST(median AS DOUBLE)) AS beta FROM split s JOIN med USING (probe)), ftrain AS (SELECT * FROM filled WHERE outer_fold <> 0)"
@@ -85,7 +85,6 @@ def fold_balance(spark, sf):
     return splits.fold_balance(folds(spark, sf)).withColumn("outer_fold", F.col("outer_fold").cast("int"))
 
 
-U = "(CAST(('0x' || substr(md5(concat_ws('|', '{}', {})), 1, 8)) AS BIGINT) / 4294967296.0)"
 
 
 @query(CELLS + f", u AS (SELECT sample_id, probe, {U.format(7, 'sample_id, probe')} AS u FROM cells WHERE beta IS NOT NULL), l AS (SELECT unnest([1.0, 0.5, 0.1, 0.02]) AS level) SELECT CAST(level AS DOUBLE) AS level, count(*) AS n_cells, count(DISTINCT sample_id) AS n_samples FROM u JOIN l ON level = 1.0 OR u < level GROUP BY level")
@@ -184,28 +183,12 @@ def metrics_by_group(spark, sf):
     return rounded(M.by_group(both, "material"), *M.METRICS)
 
 
-#: Resamples of the registered queries.
-DRAWN = 200
-DRAWS = """, numbered AS (SELECT *, row_number() OVER (ORDER BY floor(""" + U.format("row", "sample_id") + """ * 256), sample_id) - 1 AS i, count(*) OVER () AS nn FROM {src}),
- drawn AS (SELECT b, CAST(floor(""" + U.format(0, "b, i") + """ * nn) AS BIGINT) AS i FROM numbered, (SELECT unnest(range(200)) AS b)), boot AS (SELECT b, n.* FROM drawn JOIN numbered n USING (i))"""
-
-
 @query(SCORED + DRAWS.format(src="scored") + f", per AS ({summary_sql('boot', 'b')}), long AS (UNPIVOT (SELECT b, {', '.join(M.METRICS)} FROM per) ON {', '.join(M.METRICS)} INTO NAME metric VALUE value) SELECT metric, round(quantile_cont(value, 0.025), 6) + 0.0 AS ci_low, round(quantile_cont(value, 0.975), 6) + 0.0 AS ci_high FROM long GROUP BY metric")
 def bootstrap_ci(spark, sf):
     per = M.summary(splits.bootstrap_draws(scored(spark, sf), DRAWN), "b")
     return rounded(M.intervals(per).filter("ci_low is not null"), "ci_low", "ci_high")
 
 
-HALVED = SCORES + TOP + """, t2 AS (SELECT sample_id, s.class AS truth, predicted, CAST(s.class = predicted AS INT) AS c1, CAST((predicted + sample_id) % 10 = s.class AS INT) AS c2 FROM top JOIN samples s USING (sample_id))"""
-
-
-@query(HALVED + DRAWS.format(src="t2") + ", d AS (SELECT b, avg(c1) - avg(c2) AS d FROM boot GROUP BY b) SELECT round(avg(d), 6) + 0.0 AS mean_difference, round(quantile_cont(d, 0.025), 6) + 0.0 AS ci_low, round(quantile_cont(d, 0.975), 6) + 0.0 AS ci_high, round(avg(CAST(d > 0 AS INT)), 6) + 0.0 AS share_above FROM d")
-def paired_bootstrap(spark, sf):
-    rows = scored(spark, sf).select("sample_id", F.col("correct").alias("c1"), ((F.col("predicted") + F.col("sample_id")) % 10 == F.col("truth")).cast("int").alias("c2"))
-    d = splits.bootstrap_draws(rows, DRAWN).groupBy("b").agg((F.avg("c1") - F.avg("c2")).alias("d"))
-    return rounded(d.agg(F.avg("d").alias("mean_difference"), F.percentile("d", 0.025).alias("ci_low"), F.percentile("d", 0.975).alias("ci_high"), F.avg((F.col("d") > 0).cast("int")).alias("share_above")), "mean_difference", "ci_low", "ci_high", "share_above")
-
-
 @query(SCORED + DRAWS.format(src="scored") + ", d AS (SELECT b, avg(correct) AS d FROM boot GROUP BY b) SELECT (SELECT round(avg(correct), 6) + 0.0 FROM scored) AS share, round(quantile_cont(d, 0.025), 6) + 0.0 AS ci_low, round(quantile_cont(d, 0.975), 6) + 0.0 AS ci_high FROM d")
 def boot_share(spark, sf):
     s = scored(spark, sf)

@@ -8,7 +8,8 @@ from ..operators import contracts as C
 from ..operators import metrics as M
 from ..operators import nested as N
 from ..operators import relational as R
-from .base import CELLS, INNER, SCORED, SCORES, cells, folds, query, rounded, samples, scored, test_scores, truth
+from ..operators import splits
+from .base import CELLS, DRAWN, DRAWS, INNER, SCORED, SCORES, cells, folds, query, rounded, samples, scored, test_scores, truth
 
 SIZES = [8, 16, 32, 64]
 POWERS = [0.5, 1.0, 2.0, 4.0, 8.0, 16.0]
@@ -64,7 +65,7 @@ def nested_outer(spark, sf):
 @query(OUTER_CV + " SELECT count(*) AS n, round(avg(CAST(predicted = truth AS INT)), 6) + 0.0 AS accuracy, round(avg(CAST(floor(predicted / 3) = floor(truth / 3) AS INT)), 6) + 0.0 AS family_accuracy FROM pooled")
 def nested_report(spark, sf):
     """Pooled outer predictions, each sample exactly once (a contract), at class and family level."""
-    p = outer_predictions(spark, sf)
+    p = outer_predictions(spark, sf).persist()  # a row per sample, read by the contract and the sums
     C.exact_coverage(p.select("sample_id"), samples(spark, sf).select("sample_id"), "sample_id")
     right = lambda f: F.avg((f("predicted") == f("truth")).cast("int"))
     return rounded(p.agg(F.count(F.lit(1)).alias("n"), right(F.col).alias("accuracy"), right(lambda c: F.floor(F.col(c) / 3)).alias("family_accuracy")), "accuracy", "family_accuracy")
@@ -107,6 +108,27 @@ def cross_calibration(spark, sf):
     return rounded(N.cross_calibration(s, truth(spark, sf), POWERS), "log_loss", "raw_log_loss")
 
 
+PAIRED = """, two AS (SELECT a.sample_id, s.class AS truth, a.predicted AS first, b.predicted AS second FROM out_p a JOIN out_p b USING (sample_id) JOIN samples s USING (sample_id) WHERE a.setting = 64 AND b.setting = 8)""" + DRAWS.format(src="two") + """,
+ each AS (SELECT 'class' AS level, 1 AS m, b, truth, first AS q FROM boot UNION ALL SELECT 'class', 2, b, truth, second FROM boot UNION ALL SELECT 'family', 1, b, CAST(floor(truth / 3) AS INT), CAST(floor(first / 3) AS INT) FROM boot UNION ALL SELECT 'family', 2, b, CAST(floor(truth / 3) AS INT), CAST(floor(second / 3) AS INT) FROM boot),
+ t AS (SELECT level, m, b, truth AS class, count(*) AS n, count(*) FILTER (WHERE q = truth) AS hits FROM each GROUP BY ALL), g AS (SELECT level, m, b, q AS class, count(*) AS n_q FROM each GROUP BY ALL),
+ v AS (SELECT level, m, b, sum(hits) / sum(n) AS accuracy, avg(hits / n) AS balanced_accuracy, avg(2.0 * hits / (n + coalesce(n_q, 0))) AS macro_f1 FROM t LEFT JOIN g USING (level, m, b, class) GROUP BY level, m, b),
+ w AS (UNPIVOT v ON accuracy, balanced_accuracy, macro_f1 INTO NAME metric VALUE value), d AS (SELECT level, metric, x.value - y.value AS d FROM w x JOIN w y USING (level, metric, b) WHERE x.m = 1 AND y.m = 2)
+ SELECT level, metric, round(avg(d), 6) + 0.0 AS mean_difference, round(quantile_cont(d, 0.025), 6) + 0.0 AS ci_low, round(quantile_cont(d, 0.975), 6) + 0.0 AS ci_high, round(avg(CAST(d > 0 AS INT)), 6) + 0.0 AS share_above FROM d GROUP BY level, metric"""
+
+
+@query(CELLS + INNER + cross_sql("out_", "SELECT sample_id, -1 AS k, CAST(outer_fold AS INT) AS j FROM folds") + PAIRED)
+def paired_bootstrap(spark, sf):
+    """Centroids on the 64 probes of largest variance against those on 8, on the same resamples, at class and family level."""
+    found = N.held_out_classes(cells(spark, sf), N.outer_dealt(folds(spark, sf)), [8, 64]).groupBy("sample_id").pivot("setting", [64, 8]).agg(F.first("predicted"))
+    rows = found.join(truth(spark, sf), "sample_id").select("sample_id", "truth", F.col("64").alias("first"), F.col("8").alias("second"))
+    # Counted once per draw and cell of the two confusion tables, so that a draw's rows are met once for both models and levels.
+    drawn = splits.bootstrap_draws(rows, DRAWN).groupBy("b", "truth", "first", "second").agg(F.count(F.lit(1)).alias("k"))
+    level = lambda name, f: F.struct(F.lit(name).alias("level"), *[f(F.col(c)).cast("int").alias(c) for c in ("truth", "first", "second")])
+    each = drawn.select("b", "k", F.explode(F.array(level("class", lambda c: c), level("family", lambda c: F.floor(c / 3)))).alias("s")).select("b", "k", "s.*").persist()
+    model = lambda c: M.counted(each.select("level", "b", "truth", F.col(c).alias("predicted"), "k"), "level", "b")
+    return rounded(M.paired_difference(model("first"), model("second"), "level"), "mean_difference", "ci_low", "ci_high", "share_above")
+
+
 COHORTS = SCORED + """, sc AS (SELECT s.*, m.cohort FROM scored s JOIN samples m USING (sample_id)), f AS (SELECT cohort, avg(2.0 * hits / (n_t + coalesce(n_q, 0))) AS macro_f1 FROM (SELECT cohort, truth AS class, count(*) AS n_t, sum(correct) AS hits FROM sc GROUP BY 1, 2) LEFT JOIN (SELECT cohort, predicted AS class, count(*) AS n_q FROM sc GROUP BY 1, 2) USING (cohort, class) GROUP BY cohort)"""
 
 

@@ -129,9 +129,10 @@ def semi_keep(spark, sf):
     return table(spark, sf, "customer").join(o, "c_custkey", "left_semi").select("c_custkey", "c_mktsegment")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def anti_unknown(spark, sf):
-    return table(spark, sf, "customer").join(table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    """Documents whose id the labels don't know."""
+    return table(spark, sf, "documents").select("doc_id", "lang").join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
 @query("SELECT count(*) FILTER (WHERE l.doc_id IS NULL) AS only_left, count(*) FILTER (WHERE d.doc_id IS NULL) AS only_right, count(*) FILTER (WHERE d.doc_id IS NOT NULL AND l.doc_id IS NOT NULL) AS in_both FROM (SELECT DISTINCT doc_id FROM documents) d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id")
@@ -296,10 +297,10 @@ def url_build(spark, sf):
     return table(spark, sf, "nation").select("n_nationkey", F.concat(F.lit("https://example.org/"), F.substring(series, 1, 5), F.lit("nnn/"), F.col("n_name")).alias("url"))
 
 
-@query("SELECT segment, count(*) AS n_common FROM (SELECT DISTINCT c_mktsegment AS segment, c_custkey AS k FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderdate < DATE '1995-01-01' INTERSECT SELECT DISTINCT c_mktsegment, c_custkey FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderdate >= DATE '1995-01-01') GROUP BY 1")
+@query("SELECT segment, count(*) AS n_common FROM (SELECT DISTINCT c_mktsegment AS segment, c_custkey AS k FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderdate < DATE '1998-04-01' INTERSECT SELECT DISTINCT c_mktsegment, c_custkey FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderdate >= DATE '1998-04-01') GROUP BY 1")
 def cohort_disjoint(spark, sf):
     """Customers of an early and a late cohort, and how many stand in both; contracts.disjoint() refuses that."""
-    o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_mktsegment").alias("segment"), F.col("c_custkey").alias("k"), (F.col("o_orderdate").cast("date") < F.lit("1995-01-01").cast("date")).alias("early"))
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_mktsegment").alias("segment"), F.col("c_custkey").alias("k"), (F.col("o_orderdate").cast("date") < F.lit("1998-04-01").cast("date")).alias("early"))
     return o.filter("early").select("segment", "k").intersect(o.filter("not early").select("segment", "k")).groupBy("segment").agg(F.count(F.lit(1)).alias("n_common"))
 
 
@@ -381,9 +382,12 @@ def log_times(spark, sf):
     return table(spark, sf, "events").select("event_id", S.log_time("ts").alias("at"))
 
 
-@query("SELECT p_partkey, substr(sha1(p_name), 1, 10) AS name FROM part")
+CRC = "WITH t AS MATERIALIZED (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t)"
+
+
+@query(CRC + " SELECT p_partkey, substr(sha1(p_name), 1, 10) AS name, xor(list_reduce(list_concat([4294967295], list_transform(string_split(p_name, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, b: xor(t[CAST(xor(a, b) & 255 AS INT) + 1], a >> 8)), 4294967295) AS crc FROM part, t")
 def content_names(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", S.sha1_prefix("p_name").alias("name"))
+    return table(spark, sf, "part").select("p_partkey", S.sha1_prefix("p_name").alias("name"), F.crc32("p_name").alias("crc"))
 
 
 @query("SELECT o_orderkey, round(pow(0.001, 1 - CAST(('0x' || substr(md5('17|0|' || o_orderkey), 1, 8)) AS BIGINT) / 4294967296.0), 9) + 0.0 AS share FROM orders")
