@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import boosting, nested, runs, search, trees
+from ..operators import boosting, embedding, nested, runs, search, trees
 from ..operators import features as X
 from ..operators import metrics as M
 from ..sources import store
@@ -87,3 +87,16 @@ def sequential_search(spark, sf):
     log = search.search(spark, SPACE, list(range(5)), 6, objective, store.scratch(spark, "search"), seed=42)
     best = search.best_trials(log).select("outer", "trial", F.lit(True).alias("best"))
     return rounded(log.join(best, ["outer", "trial"], "left").select("outer", "trial", "setting", "values", "score", F.coalesce("best", F.lit(False)).alias("best")), "score")
+
+
+@query()
+def embedding_associations(spark, sf):
+    """The ten largest principal components of all samples' probes: share of variance, and how much of each component class, family, material and cohort explain."""
+    splits = samples(spark, sf).select(F.lit(-1).alias("s"), "sample_id", F.lit(False).alias("held"))
+    rows = X.by_split(cells(spark, sf), splits, 48)[0].persist()
+    scores = embedding.project(rows, embedding.principal_components(rows, 10), "sample_id").join(samples(spark, sf).drop("embedding"), "sample_id").persist()
+    out = None
+    for c in ("class", "family", "material", "cohort"):
+        part = X.eta_squared(scores, "score", c, "component").withColumnRenamed("eta_squared", c)
+        out = part if out is None else out.join(part, "component")
+    return rounded(out.join(scores.select("component", "share").distinct(), "component"), "class", "family", "material", "cohort", "share")
