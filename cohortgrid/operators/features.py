@@ -9,6 +9,7 @@ probe; Spark broadcasts them by their size.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,6 +40,35 @@ def fit_medians(cells: DataFrame, *by: str) -> DataFrame:
     return cells.groupBy(*by, "probe").agg(F.median(beta()).cast("float").alias("median"))
 
 
+#: Parts that a range is cut into in each pass of refined_medians().
+PARTS = 256
+
+
+def refined_medians(cells: DataFrame, *by: str, parts: int = PARTS) -> DataFrame:
+    """fit_medians() without gathering a probe's values: each pass counts a probe's values in `parts` equal parts of the range that still holds its middle, and goes on with the part that the middle lies in, from its least to its greatest value, until these are equal.
+
+    A pass is a join with a row or two per probe and an aggregate of at most `parts` rows per probe; a range shrinks `parts`-fold a pass, so doubles take eight passes at most and betas of a few digits two or three. For an even count both middle values are sought.
+    """
+    keys, v = [*by, "probe"], beta()
+    seen = cells.filter("beta is not null").select(*keys, v.alias("v"))
+    every = cells.groupBy(*keys).agg(F.count("beta").alias("n"), F.min(v).alias("low"), F.max(v).alias("high"))
+    middle = F.when(F.col("n") % 2 == 1, F.array((F.col("n") + 1) / 2)).otherwise(F.array(F.col("n") / 2, F.col("n") / 2 + 1))
+    # rank: the place of the sought value among those of the range.
+    ranges = every.filter("n > 0").select(*keys, "n", F.posexplode(F.transform(middle, lambda x: x.cast("long"))).alias("which", "rank"), "low", "high").persist()
+    ended = []
+    while not ranges.isEmpty():
+        ended.append(ranges.filter("low = high").select(*keys, F.col("low").alias("value")))
+        left = ranges.filter("low < high")
+        inside = seen.join(left, keys).filter(F.col("v").between(F.col("low"), F.col("high")))
+        part = F.least(F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * parts), F.lit(parts - 1))
+        counts = inside.groupBy(*keys, "which", "rank", part.alias("part")).agg(F.count(F.lit(1)).alias("m"), F.min("v").alias("low"), F.max("v").alias("high"))
+        upto = F.sum("m").over(Window.partitionBy(*keys, "which").orderBy("part"))  # at most `parts` rows
+        counts = counts.withColumn("before", upto - F.col("m")).filter((F.col("before") < F.col("rank")) & (F.col("rank") <= F.col("before") + F.col("m")))
+        ranges = counts.select(*keys, F.col("m").alias("n"), "which", (F.col("rank") - F.col("before")).alias("rank"), "low", "high").persist()
+    values = reduce(DataFrame.unionAll, ended) if ended else every.filter("false").select(*keys, F.col("low").alias("value"))
+    return every.select(*keys).join(values.groupBy(*keys).agg(F.avg("value").cast("float").alias("median")), keys, "left")
+
+
 def check_medians(medians: DataFrame) -> DataFrame:
     none_of(medians.filter("median is null"), "a probe has no observed value")
     return medians

@@ -178,3 +178,23 @@ def test_masked_training_shares_are_log_uniform_and_redrawn_each_epoch(spark):
     assert sum(r.got for r in shown) / len(shown) == pytest.approx(sum(shares) / len(shares), abs=0.02)
     by = {(r.epoch, r.sample_id): r.share for r in shown}
     assert all(by[0, s] != by[1, s] for s in range(300))
+
+
+@pytest.mark.parametrize("parts", [7, 256])
+def test_refined_medians_are_medians(spark, parts):
+    import random
+    import statistics
+    import struct
+
+    rng, values = random.Random(parts), {}
+    for probe in range(12):
+        n = rng.randrange(1, 60)
+        draw = [lambda: rng.random(), lambda: rng.choice([0.1, 0.2, 0.2]), lambda: rng.gauss(0, 1e-12), lambda: rng.choice([-1e9, 1e-9, 3.0])][probe % 4]
+        values[probe] = [draw() for _ in range(n)]
+    rows = [(k, p, x) for p, v in values.items() for k, x in enumerate([*v, None])] + [(0, 99, None)]
+    found = {r.probe: r["median"] for r in X.refined_medians(spark.createDataFrame(rows, "sample_id long, probe int, beta double").repartition(3), parts=parts).collect()}
+    single = lambda x: struct.unpack("f", struct.pack("f", x))[0]
+    assert found.pop(99) is None and found == {p: pytest.approx(single(statistics.median(v)), rel=1e-6, abs=1e-18) for p, v in values.items()}
+    both = spark.createDataFrame([(s, s, p, x + s) for s in (0, 5) for _, p, x in rows if x is not None], "s int, sample_id long, probe int, beta double")
+    by = {(r.s, r.probe): r["median"] for r in X.refined_medians(both, "s", parts=parts).collect()}
+    assert len(by) == 24 and by == {(r.s, r.probe): pytest.approx(r["median"], rel=1e-6) for r in X.fit_medians(both, "s").collect()}
