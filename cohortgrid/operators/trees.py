@@ -176,6 +176,28 @@ def tree_shap(rows: DataFrame, found: DataFrame, n_classes: int, keep: tuple[str
     return every.groupBy(*keep, "feature").agg(total.alias("phi"))
 
 
+def path_scores(rows: DataFrame, found: DataFrame, n_classes: int, keep: tuple[str, ...] = ("sample_id",), most: int = MAX_PATHS) -> DataFrame:
+    """keep and score (an array over classes): the values of the leaves that a row comes to, added up; paths are sent in chunks as for tree_shap()."""
+    spark, kinds, parts = rows.sparkSession, dict(rows.dtypes), []
+    for chosen in _chunks(found, most):
+        sent = spark.sparkContext.broadcast([r.asDict() for r in found.filter(F.col("tree").isin(chosen)).collect()])  # at most `most` bytes, or one tree
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            groups, always = laid_out(sent.value), sum((np.array(r["value"]) for r in sent.value if not r["features"]), np.zeros(n_classes))
+            for b in batches:
+                for at in range(0, b.num_rows, 256):
+                    own = b.slice(at, 256)
+                    x, score = own.column(len(keep)).flatten().to_numpy().reshape(own.num_rows, -1), np.tile(always, (own.num_rows, 1))
+                    for g in groups:
+                        score += g.follow(x).all(2) @ g.value
+                    flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * n_classes, pa.int32()), pa.array(score.ravel()))
+                    yield pa.RecordBatch.from_arrays([*own.columns[:-1], flat], [*keep, "score"])
+
+        parts.append(rows.select(*keep, "x").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", score array<double>"))
+    every = reduce(DataFrame.unionAll, parts)
+    return every if len(parts) == 1 else every.groupBy(*keep).agg(F.array(*[F.sum(F.get("score", F.lit(c))) for c in range(n_classes)]).alias("score"))
+
+
 def base_values(found: DataFrame, n_classes: int) -> list[float]:
     """Each class's mean score over the covers (a number per class)."""
     p = F.aggregate("share", F.lit(1.0), lambda a, x: a * x)

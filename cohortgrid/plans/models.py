@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import boosting, embedding, nested, runs, search, trees
+from ..operators import boosting, embedding, final, nested, runs, search, trees
 from ..operators import features as X
 from ..operators import metrics as M
 from ..sources import store
@@ -100,3 +100,17 @@ def embedding_associations(spark, sf):
         part = X.eta_squared(scores, "score", c, "component").withColumnRenamed("eta_squared", c)
         out = part if out is None else out.join(part, "component")
     return rounded(out.join(scores.select("component", "share").distinct(), "component"), "class", "family", "material", "cohort", "share")
+
+
+FINAL = [
+    {"name": "forest", "model": "forest", "n_probes": N_PROBES, "correct_material": True, "params": {"trees": 20, "depth": 5}},
+    {"name": "boosting", "model": "boosting", "n_probes": N_PROBES, "correct_material": True, "params": {"rounds": 3, "depth": 2, "bins": 16}},
+    {"name": "logistic", "model": "logistic", "n_probes": N_PROBES, "correct_material": True, "params": {"c": 0.01}},
+]
+
+
+@query()
+def final_models(spark, sf):
+    """Three models fitted on all samples over one shared feature table, saved, read again and compared."""
+    found = final.fit_all(cells(spark, sf).persist(), FINAL, store.scratch(spark, "final"))
+    return spark.createDataFrame([(r["name"], r["n_samples"], r["n_features"], r["difference"] <= final.MOST) for r in found], "name string, n_samples long, n_features int, same boolean")
