@@ -14,7 +14,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,12 +58,14 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # only here: the other stages need no vocabulary
+
     return byte_bpe(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("quality", quality), ("exact", exact), ("near", near), ("mixing", mixing), ("tokens", tokens)]
 
-#: Order MinHash and mixing iterate, and byte-level BPE isn't SQL; run() is tested against a plain Python version instead.
+#: Order MinHash and mixing iterate, and byte-level BPE isn't SQL. Tests hold quality, exact and near to rows made by hand, each operator to a plain version, and run() to its stages in turn.
 ORACLE_SQL = None
 
 
