@@ -9,6 +9,11 @@ the number of folds, and nothing of a held-out fold enters its fit.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +64,79 @@ def held_out_distances(cells: DataFrame, dealt: DataFrame, sizes: list[int] | No
     return held.join(c, ["k", "j", "probe"]).groupBy("k", "j", *by, "sample_id", "class").agg(F.sum(term).alias("distance"), F.count(F.lit(1)).alias("n_obs"))
 
 
+#: Bytes of centroids that are sent to the rows at once.
+MAX_CENTROIDS = 64 << 20
+
+
+def _blocks(centroids: DataFrame, most: int) -> list[list[tuple[int, int, int, int]]]:
+    """(k, j, first probe, end) in groups of at most `most` bytes of centroids, or one probe's; a number per 256 probes of a fold comes to the driver."""
+    sizes = centroids.groupBy("k", "j", F.floor(F.col("probe") / 256).cast("int").alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("k", "j", "part").collect()
+    out, held = [[]], 0
+    for r in sizes:
+        size = 48 * r["n"]
+        if out[-1] and held + size > most:
+            out.append([])
+            held = 0
+        last = out[-1][-1] if out[-1] else None
+        if last and last[:2] == (r["k"], r["j"]) and last[3] == 256 * r["part"]:
+            out[-1][-1] = (*last[:3], 256 * (r["part"] + 1))
+        else:
+            out[-1].append((r["k"], r["j"], 256 * r["part"], 256 * (r["part"] + 1)))
+        held += size
+    return out
+
+
+def block_distances(cells: DataFrame, dealt: DataFrame, most: int = MAX_CENTROIDS) -> DataFrame:
+    """held_out_distances() as a matrix product: a sample's observed cells are one row, a fold's centroids come to it in blocks of probes, and a row per sample, class and block is all that is made. Classes are numbers.
+
+    With all centroids in one block nothing is shuffled behind the product; otherwise the blocks' sums meet per sample and class.
+    """
+    spark = cells.sparkSession
+    c = fold_centroids(cells, dealt).select("k", "j", "probe", F.col("class").cast("int").alias("class"), "mean", "var").persist()
+    kinds = dict(cells.dtypes)
+    rows = cells.filter("beta is not null").groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct("probe", beta().alias("x")))).alias("v"))
+    rows = rows.join(dealt, "sample_id").select("sample_id", F.col("k").cast("int"), F.col("j").cast("int"), F.transform("v", lambda s: s["probe"].cast("int")).alias("probes"), F.transform("v", lambda s: s["x"]).alias("x")).persist()
+    parts = []
+    for block in _blocks(c, most):
+        wanted = reduce(lambda a, b: a | b, [(F.col("k") == k) & (F.col("j") == j) & (F.col("probe") >= low) & (F.col("probe") < high) for k, j, low, high in block])
+        table: dict[tuple[int, int], tuple] = {}
+        for r in c.filter(wanted).collect():  # at most `most` bytes
+            table.setdefault((r["k"], r["j"]), []).append((r["probe"], r["class"], r["mean"], r["var"]))
+        sent = spark.sparkContext.broadcast({key: _matrices(found) for key, found in table.items()})
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                out = []
+                for n in range(b.num_rows):
+                    k, j = b.column(1)[n].as_py(), b.column(2)[n].as_py()
+                    if (k, j) not in sent.value:
+                        continue
+                    probes, classes, linear, constant, there = sent.value[k, j]
+                    seen, x = b.column(3)[n].values.to_numpy(), b.column(4)[n].values.to_numpy()
+                    at = np.searchsorted(probes, seen)
+                    own = at < len(probes)
+                    own[own] = probes[at[own]] == seen[own]
+                    at, x = at[own], x[own]
+                    n_obs = there[at].sum(0)
+                    out += [(n, k, j, int(c), float(d), int(m)) for c, d, m in zip(classes, x @ linear[at] + constant[at].sum(0), n_obs, strict=True) if m]
+                cols = [pa.array([o[q] for o in out], t) for q, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(cols[0]), *cols[1:]], ["sample_id", "k", "j", "class", "distance", "n_obs"])
+
+        parts.append(rows.mapInArrow(run, f"sample_id {kinds['sample_id']}, k int, j int, class int, distance double, n_obs long"))
+    every = reduce(DataFrame.unionAll, parts)
+    return every if len(parts) == 1 else every.groupBy("sample_id", "k", "j", "class").agg(F.sum("distance").alias("distance"), F.sum("n_obs").alias("n_obs"))
+
+
+def _matrices(found: list[tuple[int, int, float, float]]) -> tuple:
+    """Probes and classes (sorted), and probes x classes: what a value is multiplied by, what is added, and whether the class has the probe."""
+    probes, classes = (np.unique([r[q] for r in found]) for q in (0, 1))
+    linear, constant, there = (np.zeros((len(probes), len(classes))) for _ in range(3))
+    at, to = np.searchsorted(probes, [r[0] for r in found]), np.searchsorted(classes, [r[1] for r in found])
+    mean, var = (np.array([r[q] for r in found]) for q in (2, 3))
+    linear[at, to], constant[at, to], there[at, to] = -2 * mean / var, mean * mean / var, 1
+    return probes, classes, linear, constant, there.astype(np.int64)
+
+
 def held_out_classes(cells: DataFrame, dealt: DataFrame, sizes: list[int], floor: Column | float = VAR_FLOOR) -> DataFrame:
     """k, j, setting, sample_id, predicted: the nearest class, ties to the lower one."""
     d = held_out_distances(cells, dealt, sizes, floor)

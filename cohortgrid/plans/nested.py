@@ -9,7 +9,8 @@ from ..operators import metrics as M
 from ..operators import nested as N
 from ..operators import relational as R
 from ..operators import splits
-from .base import CELLS, DRAWN, DRAWS, INNER, SCORED, SCORES, cells, folds, query, rounded, samples, scored, test_scores, truth
+from ..operators.models import centroid_scores, top_class
+from .base import CELLS, DRAWN, DRAWS, INNER, SCORED, SCORES, TOP, cells, folds, query, rounded, samples, scored, test_scores, truth
 
 SIZES = [8, 16, 32, 64]
 POWERS = [0.5, 1.0, 2.0, 4.0, 8.0, 16.0]
@@ -47,6 +48,13 @@ def outer_predictions(spark, sf):
     return found.join(truth(spark, sf), "sample_id").select("sample_id", F.col("j").alias("outer_fold"), "setting", "predicted", "truth")
 
 
+@query(SCORES + TOP + " SELECT sample_id, CAST(predicted AS INT) AS predicted, round(confidence, 6) + 0.0 AS confidence FROM top")
+def centroid_blocks(spark, sf):
+    """Every sample's nearest class by the outer folds that it isn't in, by products with blocks of centroids: no row per sample, probe and class."""
+    d = N.block_distances(cells(spark, sf), N.outer_dealt(folds(spark, sf)))
+    return rounded(top_class(centroid_scores(d)), "confidence")
+
+
 @query(INNER_CV + ' SELECT k AS "outer", j AS "inner", setting, round(macro_f1, 6) + 0.0 AS macro_f1 FROM f1')
 def nested_inner(spark, sf):
     return rounded(inner_scores(spark, sf).withColumnsRenamed({"k": "outer", "j": "inner"}), "macro_f1")
