@@ -313,6 +313,12 @@ def largest_k(spark, sf):
     return top.withColumn("rank", F.rank().over(Window.orderBy(F.desc("n"))))
 
 
+@query("SELECT lang, count(*) AS n FROM documents GROUP BY lang ORDER BY count(*) DESC, lang LIMIT 1")
+def largest_language(spark, sf):
+    """The largest group, which must be one: a tie at the cut-off stops the run."""
+    return R.largest_groups(table(spark, sf, "documents"), "lang", 1)
+
+
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def work_list(spark, sf):
     done = table(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))

@@ -21,6 +21,10 @@ from pyspark.sql import functions as F
 from ..operators.contracts import close, fail, none_of, same_keys, unique_key
 
 
+#: Bytes of a long name's or extended header's text at most.
+MAX_HEADER = 1 << 20
+
+
 def _parsed(spark: SparkSession, path: str, schema: str, rows_of) -> DataFrame:
     """Rows that rows_of(path, content) yields for each file, as tuples in the order of the schema."""
     kinds = spark.createDataFrame([], schema).schema
@@ -128,6 +132,54 @@ def tar_entries(spark: SparkSession, path: str, allowed: str) -> DataFrame:
     return _parsed(spark, path, "path string, name string, size long, ok boolean", rows)
 
 
+def walk_tar(read, length: int) -> Iterator[tuple[str, int, bool]]:
+    """(name, size, whether it is a plain file) of a tar's entries, from its headers alone. read(position, n) gives bytes of it; what lies between headers is never read, but for long names."""
+    at, name, size = 0, None, None
+    while at + 512 <= length:
+        header = read(at, 512)
+        if not header.strip(b"\0"):
+            return
+        entry = tarfile.TarInfo.frombuf(header, "utf-8", "surrogateescape")
+        at += 512
+        if entry.type in (tarfile.GNUTYPE_LONGNAME, tarfile.XHDTYPE, tarfile.XGLTYPE, tarfile.GNUTYPE_LONGLINK):
+            if entry.size > MAX_HEADER:
+                raise ValueError(f"ERROR: a header of {entry.size} bytes")
+            told = read(at, entry.size)
+            if entry.type == tarfile.GNUTYPE_LONGNAME:
+                name = told.rstrip(b"\0").decode("utf-8", "surrogateescape")
+            elif entry.type == tarfile.XHDTYPE:
+                while told.strip(b"\0"):
+                    n = int(told[: told.index(b" ")])
+                    key, _, value = told[told.index(b" ") + 1 : n - 1].decode("utf-8", "surrogateescape").partition("=")
+                    name, size, told = value if key == "path" else name, int(value) if key == "size" else size, told[n:]
+            at += -(-entry.size // 512) * 512
+            continue
+        own = entry.size if size is None else size
+        if at + own > length:
+            raise ValueError(f"ERROR: the archive ends inside {entry.name!r}")
+        yield entry.name if name is None else name, own, entry.isfile()
+        at, name, size = at + (-(-own // 512) * 512 if entry.isfile() else 0), None, None
+
+
+def tar_index(spark: SparkSession, path: str, allowed: str) -> DataFrame:
+    """tar_entries() of one tar of any size: headers are read one by one through the file system, not the members between them (binaryFile holds 2 GB at most). A row per entry is all that the driver holds."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    stream, utils = fs.open(p), spark._jvm.org.apache.commons.io.IOUtils
+
+    def read(at: int, n: int) -> bytes:
+        stream.seek(at)
+        return bytes(utils.toByteArray(stream, n))
+
+    try:
+        found = list(walk_tar(read, fs.getFileStatus(p).getLen()))
+    finally:
+        stream.close()
+    inside = lambda name: not name.startswith("/") and ".." not in name.split("/")
+    rows = [(path, name, size, bool(plain and inside(name) and re.fullmatch(allowed, name))) for name, size, plain in found]
+    return spark.createDataFrame(rows, "path string, name string, size long, ok boolean")
+
+
 def refuse_entries(entries: DataFrame) -> DataFrame:
     none_of(entries.filter("not ok"), "an entry that isn't allowed")
     return entries

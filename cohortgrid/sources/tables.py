@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-import json
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import unquote
 from ..operators.contracts import fail, required_columns
+from . import store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,16 +72,8 @@ def digest(df: DataFrame, *columns: str) -> str:
 
 
 def check_manifest(path: str, config: dict, folds: DataFrame) -> None:
-    """Writes config and fold digest on the first run; another run must have the same."""
-    now = {"config": config, "folds": digest(folds, *sorted(folds.columns))}
-    if os.path.exists(path):
-        with open(path) as f:
-            if json.load(f) != now:
-                fail(f"{path}: the run was begun with another configuration or other folds")
-        return
-    with open(f"{path}.tmp", "w") as f:
-        json.dump(now, f, sort_keys=True)
-    os.replace(f"{path}.tmp", path)
+    """Writes config and fold digest on the first run; another run must have the same. On whatever file system the path names."""
+    store.check_manifest(folds.sparkSession, path, {"config": config, "folds": digest(folds, *sorted(folds.columns))})
 
 
 def file_pairs(files: DataFrame) -> DataFrame:

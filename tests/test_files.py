@@ -133,3 +133,38 @@ def test_summary_is_the_plain_metrics(spark):
     assert r.accuracy == pytest.approx(np.mean([x[1] == x[2] for x in rows])) and r.brier == pytest.approx(np.mean([x[4] for x in rows]))
     assert r.confident_share == pytest.approx(len(sure) / 300) and r.confident_accuracy == pytest.approx(np.mean([x[1] == x[2] for x in sure]))
     assert r.ece == pytest.approx(M.ece(d.withColumn("one", F.lit(1)), "one").first().ece)
+
+
+def test_tar_headers_are_walked_and_members_are_not_read(spark, tmp_path):
+    from cohortgrid.sources import files
+
+    names = ["GSM1_a_Grn.idat.gz", "d/" + "n" * 150 + ".gz", "../out.gz", "/abs.gz", "é.gz", "empty.gz"]
+    for kind in (tarfile.GNU_FORMAT, tarfile.PAX_FORMAT):
+        path = tmp_path / f"{kind}.tar"
+        with tarfile.open(path, "w", format=kind) as t:
+            for k, n in enumerate(names):
+                m = tarfile.TarInfo(n)
+                m.size = 0 if n == "empty.gz" else 700 * k + 1
+                t.addfile(m, io.BytesIO(b"x" * m.size))
+            d = tarfile.TarInfo("folder.gz")
+            d.type = tarfile.DIRTYPE
+            t.addfile(d)
+            link = tarfile.TarInfo("link.gz")
+            link.type, link.linkname = tarfile.SYMTYPE, "/etc/passwd"
+            t.addfile(link)
+        key = lambda r: (r.name.rstrip("/"), r.size, r.ok)
+        walked = sorted(map(key, files.tar_index(spark, f"file://{path}", r".*\.gz").collect()))
+        assert walked == sorted(map(key, files.tar_entries(spark, f"file://{path}", r".*\.gz").collect()))
+        assert {n for n, _, ok in walked if ok} == {names[0], names[1], "é.gz", "empty.gz"}
+    # A tar of over 2 GB whose first member is a hole.
+    big = tmp_path / "big.tar"
+    with open(big, "wb") as f:
+        first, second = tarfile.TarInfo("a.gz"), tarfile.TarInfo("b.gz")
+        first.size, second.size = 3 << 30, 5
+        f.write(first.tobuf())
+        f.seek(512 + first.size)
+        f.write(second.tobuf() + b"hello".ljust(512, b"\0") + b"\0" * 1024)
+    assert [tuple(r)[1:] for r in files.tar_index(spark, f"file://{big}", r".*\.gz").collect()] == [("a.gz", 3 << 30, True), ("b.gz", 5, True)]
+    big.write_bytes(open(big, "rb").read(700))
+    with pytest.raises(ValueError, match="ends inside"):
+        files.tar_index(spark, f"file://{big}", ".*")
