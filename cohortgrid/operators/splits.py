@@ -35,6 +35,11 @@ def fold_balance(folds: DataFrame) -> DataFrame:
     return outer.join(rest.groupBy(F.col("outer").alias("outer_fold")).agg(F.min("train").alias("min_inner_train")), "outer_fold")
 
 
+def fold_share(folds: DataFrame, samples: DataFrame, flag: str) -> DataFrame:
+    """Per outer fold the share of samples with a flag."""
+    return folds.join(samples, "sample_id").groupBy("outer_fold").agg(F.avg(F.col(flag).cast("int")).alias("share"))
+
+
 def observed(cells: DataFrame, levels: list[float], seed: int = 7) -> DataFrame:
     """A row per cell and coverage level at which it is seen: u < level, or level 1. Levels are nested, as u is one draw a cell."""
     u = uniform(seed, "sample_id", "probe")

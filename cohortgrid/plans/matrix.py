@@ -88,9 +88,11 @@ def stratified_folds(spark, sf):
 
 @query(SAMPLES + INNER + """, per AS (SELECT outer_fold, class, count(*) AS n FROM folds GROUP BY 1, 2), long AS (SELECT class, CAST(unnest(range(5)) AS INT) AS o, unnest(inner_folds) AS i FROM folds),
  c AS (SELECT o, class, i, count(*) AS n FROM long WHERE i >= 0 GROUP BY 1, 2, 3), r AS (SELECT o, sum(n) OVER (PARTITION BY o, class) - n AS tr FROM c), m AS (SELECT o AS outer_fold, min(tr) AS min_inner_train FROM r GROUP BY o)
- SELECT CAST(outer_fold AS INT) AS outer_fold, CAST(sum(n) AS BIGINT) AS n_samples, count(*) AS n_classes, min(n) AS min_class, CAST(max(min_inner_train) AS BIGINT) AS min_inner_train FROM per JOIN m USING (outer_fold) GROUP BY outer_fold""")
+ SELECT CAST(outer_fold AS INT) AS outer_fold, CAST(sum(n) AS BIGINT) AS n_samples, count(*) AS n_classes, min(n) AS min_class, CAST(max(min_inner_train) AS BIGINT) AS min_inner_train, max(share) AS first_material FROM per JOIN m USING (outer_fold) JOIN (SELECT outer_fold, round(avg(CAST(material = 'FFPE' AS INT)), 6) + 0.0 AS share FROM folds JOIN samples USING (sample_id) GROUP BY 1) USING (outer_fold) GROUP BY outer_fold""")
 def fold_balance(spark, sf):
-    return splits.fold_balance(folds(spark, sf)).withColumn("outer_fold", F.col("outer_fold").cast("int"))
+    """Sizes, smallest classes, and the share of one material in each outer fold."""
+    share = splits.fold_share(folds(spark, sf), samples(spark, sf).select("sample_id", (F.col("material") == "FFPE").alias("is_first")), "is_first").withColumnRenamed("share", "first_material")
+    return rounded(splits.fold_balance(folds(spark, sf)).join(share, "outer_fold").withColumn("outer_fold", F.col("outer_fold").cast("int")), "first_material")
 
 
 
@@ -318,12 +320,12 @@ def attribution_topk(spark, sf):
     return rounded(top.select("probe", "rank", "mean_abs", "mean_signed", "delta"), "mean_abs", "mean_signed", "delta", places=5)
 
 
-@query(ATTR + """, ids AS (SELECT DISTINCT sample_id FROM sh), each AS (SELECT sample_id, unnest(range(5)) AS split FROM ids), h AS (SELECT *, CAST(row_number() OVER (PARTITION BY split ORDER BY md5('11|' || split || '|' || sample_id), sample_id) > floor(count(*) OVER (PARTITION BY split) / 2) AS INT) AS half FROM each),
+@query(ATTR + """, ids AS (SELECT DISTINCT sample_id FROM sh), each AS (SELECT sample_id, unnest(range(20)) AS split FROM ids), h AS (SELECT *, CAST(row_number() OVER (PARTITION BY split ORDER BY md5('11|' || split || '|' || sample_id), sample_id) > floor(count(*) OVER (PARTITION BY split) / 2) AS INT) AS half FROM each),
  r AS (SELECT split, half, probe, row_number() OVER (PARTITION BY split, half ORDER BY avg(abs(share)) DESC, probe) AS r FROM h JOIN sh USING (sample_id) GROUP BY 1, 2, 3), o AS (SELECT a.split, count(b.probe) AS shared FROM r a LEFT JOIN r b ON a.split = b.split AND a.probe = b.probe AND b.half = 1 AND b.r <= 10 WHERE a.half = 0 AND a.r <= 10 GROUP BY 1)
  SELECT round(avg(shared), 6) + 0.0 AS shared_mean, min(shared) AS shared_min, max(shared) AS shared_max, 10 * 10 / 64.0e0 AS shared_by_chance FROM o""")
 def stability_halves(spark, sf):
     s = shares(spark, sf)
-    h = splits.halves(s.select("sample_id").distinct(), 5).join(s, "sample_id").groupBy("split", "half", "probe").agg(F.avg(F.abs("share")).alias("m"))
+    h = splits.halves(s.select("sample_id").distinct(), 20).join(s, "sample_id").groupBy("split", "half", "probe").agg(F.avg(F.abs("share")).alias("m"))
     top = h.withColumn("r", F.row_number().over(Window.partitionBy("split", "half").orderBy(F.desc("m"), "probe"))).filter("r <= 10")
     o = top.groupBy("split", "probe").agg(F.count(F.lit(1)).alias("k")).groupBy("split").agg(F.count_if(F.col("k") == 2).alias("shared"))
     return rounded(o.agg(F.avg("shared").alias("shared_mean"), F.min("shared").alias("shared_min"), F.max("shared").alias("shared_max")).withColumn("shared_by_chance", F.lit(100 / 64.0)), "shared_mean")

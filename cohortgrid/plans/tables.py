@@ -226,16 +226,16 @@ def manifest_reconcile(spark, sf):
 
 
 @query("""SELECT 'unique_key' AS "check", count(*) - count(DISTINCT doc_id) AS n_bad FROM documents UNION ALL SELECT 'no_missing', count(*) FILTER (WHERE text IS NULL) FROM documents UNION ALL SELECT 'closed_domain', count(*) FILTER (WHERE lang NOT IN ('en', 'de')) FROM documents
- UNION ALL SELECT 'finite', count(*) FILTER (WHERE NOT isfinite(value)) FROM events UNION ALL SELECT 'dense_index', count(*) FILTER (WHERE n_nationkey NOT BETWEEN 0 AND 24) FROM nation UNION ALL SELECT 'labels_known', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)""")
+ UNION ALL SELECT 'finite', count(*) FILTER (WHERE NOT isfinite(value)) FROM events UNION ALL SELECT 'dense_index', max(o_orderkey) - min(o_orderkey) + 1 - count(DISTINCT o_orderkey) FROM orders UNION ALL SELECT 'labels_known', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)""")
 def contracts_report(spark, sf):
-    d, e, n, lab = (table(spark, sf, t) for t in ("documents", "events", "nation", "labels"))
+    d, e, o, lab = (table(spark, sf, t) for t in ("documents", "events", "orders", "labels"))
     v = F.col("value")
     checks = {
         "unique_key": d.agg((F.count(F.lit(1)) - F.countDistinct("doc_id")).alias("n_bad")),
         "no_missing": d.agg(F.count_if(F.col("text").isNull()).alias("n_bad")),
         "closed_domain": d.agg(F.count_if(~F.col("lang").isin("en", "de")).alias("n_bad")),
         "finite": e.agg(F.count_if(F.isnan(v) | (F.abs(v) == float("inf"))).alias("n_bad")),
-        "dense_index": n.agg(F.count_if(~F.col("n_nationkey").between(0, 24)).alias("n_bad")),
+        "dense_index": o.agg((F.max("o_orderkey") - F.min("o_orderkey") + 1 - F.countDistinct("o_orderkey")).alias("n_bad")),
         "labels_known": lab.join(d.select("doc_id"), "doc_id", "left_anti").agg(F.count(F.lit(1)).alias("n_bad")),
     }
     out = None
