@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .contracts import fail
+from .contracts import fail, none_of
 
 
 def first_failure(steps: list[tuple[str, Column]]) -> Column:
@@ -92,6 +92,23 @@ def largest_groups(df: DataFrame, by: str, k: int) -> DataFrame:
     return n.limit(k)
 
 
+def match_labels(df: DataFrame, label: str, exact: DataFrame, aliases: DataFrame) -> DataFrame:
+    """matched and how ("exact", "alias", "none"): by the label itself, else by its alias. exact, aliases: label, key, few rows each. An alias that no row has is an error, as is a label in both tables."""
+    none_of(aliases.join(exact, "label", "left_semi").select("label"), "an alias of a label that is matched as it is")
+    none_of(aliases.join(df.select(F.col(label).alias("label")), "label", "left_anti").select("label"), "an alias that is never used")
+    of = lambda t, name: t.select(F.col("label").alias(label), F.col("key").alias(name))
+    met = df.join(of(exact, "_exact"), label, "left").join(of(aliases, "_alias"), label, "left")
+    how = F.when(F.col("_exact").isNotNull(), "exact").when(F.col("_alias").isNotNull(), "alias").otherwise("none")
+    return met.withColumns({"matched": F.coalesce("_exact", "_alias"), "how": how}).drop("_exact", "_alias")
+
+
+def report_pivot(df: DataFrame, row: str, column: str, values: list, text: str) -> DataFrame:
+    """A row per row, a column of text per value, "" where there is none; two texts for one place are an error."""
+    once = F.when(F.count(text) > 1, F.raise_error(F.lit(f"ERROR: two texts for one {row} and {column}")).cast("string")).otherwise(F.coalesce(F.first(text, ignorenulls=True), F.lit("")))
+    wide = df.groupBy(row).pivot(column, values).agg(once)
+    return wide.select(row, *[F.coalesce(F.col(f"`{v}`"), F.lit("")).alias(str(v)) for v in values])
+
+
 def settings_grid(spark, features: list[int], params: list[tuple[str, list]]) -> DataFrame:
     """Every combination, numbered s000, s001 ... in the order given; params as JSON with sorted keys."""
     import itertools
