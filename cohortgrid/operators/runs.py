@@ -7,9 +7,9 @@ stopped run goes on with what is missing and a changed configuration or fold tab
 refused. The inner stage never reads cells of the outer fold that it leaves out; the outer
 stage runs only behind a choice for every outer fold, and only if it is asked for by name.
 
-Scale: an outer fold's cells are read once per feature setting, for the missing fits of
-its inner folds together: features are fitted by split as one more key (features.by_split),
-boosting and logistic models take their steps for all splits at once.
+Scale: the cells of at_once outer folds are read once per feature setting, for the missing
+fits of their inner folds together: features are fitted by split as one more key
+(features.by_split), boosting and logistic models take their steps for all splits at once.
 """
 
 from __future__ import annotations
@@ -96,6 +96,7 @@ class Run:
     config: dict
     root: str
     n_inner: int = 3
+    at_once: int = 1  # outer folds whose features are made in one pass: cells are held once per split of these
     classes: list = field(default_factory=list)
     loaded: list = field(default_factory=list)  # (outer fold, inner folds) whose cells were read
 
@@ -121,41 +122,48 @@ class Run:
         gone = {k: [(j, s) for j in range(self.n_inner) for s in settings if self.path(k, j, s["setting"]).rsplit("/", 1)[1] not in have] for k in ks}
         return {k: v for k, v in gone.items() if v}
 
-    def _fit(self, k: int, todo: list[tuple[int | None, dict]]) -> int:
-        """Fits of outer fold k: feature setting by feature setting, all splits of a setting at once."""
-        column, n = F.get("inner", F.lit(k)), 0
-        sentinel(self.folds.withColumn("own", column), "own", "outer_fold", k)
-        groups: dict[tuple, list] = {}
-        for j, s in todo:
-            groups.setdefault(tuple(s[f] for f in FEATURES), []).append((j, s))
+    def _fit(self, todo: dict[int, list[tuple[int | None, dict]]]) -> int:
+        """Fits of outer folds (fold -> inner fold or None for its test, setting): feature setting by feature setting, all splits of a setting at once."""
+        groups, n, width = {}, 0, self.n_inner + 1
+        for k, items in todo.items():
+            sentinel(self.folds.withColumn("own", F.get("inner", F.lit(k))), "own", "outer_fold", k)
+            for j, s in items:
+                groups.setdefault(tuple(s[f] for f in FEATURES), []).append((k, -1 if j is None else j, s))
         for features, items in groups.items():
-            options = dict(zip(FEATURES, features, strict=True))
-            if options["correct_material"]:
-                check_materials(self.folds.filter(F.col("outer_fold") != k), self.folds)
-            js = sorted({-1 if j is None else j for j, _ in items})
-            self.loaded.append((k, js))
-            splits = self.folds.select("sample_id", F.explode(F.array(*map(F.lit, js))).alias("s"), column.alias("inner_fold"), "outer_fold")
-            if js != [-1]:  # the training side only
-                splits = splits.filter(F.col("outer_fold") != k)
-            held = F.when(F.col("s") == -1, F.col("outer_fold") == k).otherwise(F.col("inner_fold") == F.col("s"))
-            vectors, _ = by_split(self.cells, splits.select("s", "sample_id", held.alias("held")), options["n_probes"], correct_material=options["correct_material"])
+            options, splits = dict(zip(FEATURES, features, strict=True)), None
+            for k in sorted({k for k, _, _ in items}):
+                js = sorted({j for kk, j, _ in items if kk == k})
+                self.loaded.append((k, js))
+                if options["correct_material"]:
+                    check_materials(self.folds.filter(F.col("outer_fold") != k), self.folds)
+                own = self.folds.select("sample_id", F.explode(F.array(*map(F.lit, js))).alias("j"), F.get("inner", F.lit(k)).alias("inner_fold"), "outer_fold")
+                own = own.filter((F.col("j") == -1) | (F.col("outer_fold") != k))  # of inner splits the training side only
+                held = F.when(F.col("j") == -1, F.col("outer_fold") == k).otherwise(F.col("inner_fold") == F.col("j"))
+                own = own.select((F.lit(k * width + 1) + F.col("j")).alias("s"), "sample_id", held.alias("held"))
+                splits = own if splits is None else splits.unionAll(own)
+            vectors, _ = by_split(self.cells, splits, options["n_probes"], correct_material=options["correct_material"])
             number = F.array_position(F.array(*map(F.lit, self.classes)), F.col("class")) - 1
             rows = weighted(vectors.withColumn("class", number.cast("int"))).persist()
             none_of(self._absent(rows), "the training samples lack a class")
-            for s in sorted({i[1]["setting"] for i in items}):
-                setting, own = next(i[1] for i in items if i[1]["setting"] == s), sorted(-1 if j is None else j for j, x in items if x["setting"] == s)
-                proba = MODELS[self.config["model"]](rows.filter(F.col("s").isin(own)), setting["model_params"], len(self.classes), self.config["seed"])
+            for name in sorted({s["setting"] for _, _, s in items}):
+                setting = next(s for _, _, s in items if s["setting"] == name)
+                own = {k * width + 1 + j: (k, None if j < 0 else j) for k, j, s in items if s["setting"] == name}
+                proba = MODELS[self.config["model"]](rows.filter(F.col("s").isin(list(own))), setting["model_params"], len(self.classes), self.config["seed"])
                 made = f"{self.dir}/pred/tmp-{uuid.uuid4().hex[:12]}.tmp"
                 proba.select("s", "sample_id", "proba").repartition(len(own), "s").write.partitionBy("s").parquet(made)
-                for j in own:  # each fit is committed by itself
-                    store.commit(self.spark, f"{made}/s={j}", self.path(k, None if j < 0 else j, s))
+                for s, (k, j) in own.items():  # each fit is committed by itself
+                    store.commit(self.spark, f"{made}/s={s}", self.path(k, j, name))
                 store.remove(self.spark, made)
                 n += len(own)
-            log = F.explode(F.array(*[F.struct(F.lit(-1 if j is None else j).alias("inner"), F.lit(s["setting"]).alias("setting")) for j, s in items])).alias("fit")
-            self.spark.range(1, numPartitions=1).select(F.lit(k).alias("outer"), log).select("outer", "fit.*", F.current_timestamp().alias("finished")).write.mode("append").parquet(f"{self.dir}/fits")
+            log = F.explode(F.array(*[F.struct(F.lit(k).alias("outer"), F.lit(j).alias("inner"), F.lit(s["setting"]).alias("setting")) for k, j, s in items])).alias("fit")
+            self.spark.range(1, numPartitions=1).select(log).select("fit.*", F.current_timestamp().alias("finished")).write.mode("append").parquet(f"{self.dir}/fits")
             rows.unpersist()
         return n
 
+    def _batches(self, todo: dict[int, list]) -> int:
+        ks = sorted(todo)
+        return sum(self._fit({k: todo[k] for k in ks[a : a + self.at_once]}) for a in range(0, len(ks), self.at_once))
+
     def _absent(self, rows: DataFrame) -> DataFrame:
         seen = rows.filter("not held").groupBy("s").agg(F.count_distinct("class").alias("n_classes"))
         return seen.filter(F.col("n_classes") < len(self.classes))
@@ -163,7 +171,7 @@ class Run:
     def inner(self, ks: list[int] | None = None, settings: list[dict] | None = None) -> int:
         """Fits what is missing; the number of fits done now."""
         ks = list(range(self.n_outer)) if ks is None else ks
-        return sum(self._fit(k, todo) for k, todo in self.missing(ks, self.settings if settings is None else settings).items())
+        return self._batches(self.missing(ks, self.settings if settings is None else settings))
 
     def load(self, fits: list[tuple[int, int | None, str]]) -> DataFrame:
         """k, j (-1: test), setting, sample_id, class, p of stored fits, once each holds exactly its fold's samples with valid probabilities. The checks are one pass each for all fits."""
@@ -213,13 +221,13 @@ class Run:
             fail("no choices yet; run select first")
         if not final_scoring:
             fail("the outer test folds are read only with final_scoring=True")
-        chosen, by, have, n = {r["outer"]: r["setting"] for r in json.loads(store.read_text(self.spark, path))}, {s["setting"]: s for s in self.settings}, self.done(), 0
+        chosen, by, have, todo = {r["outer"]: r["setting"] for r in json.loads(store.read_text(self.spark, path))}, {s["setting"]: s for s in self.settings}, self.done(), {}
         for k in range(self.n_outer):
             if chosen.get(k) not in by:
                 fail(f"no valid setting chosen for outer fold {k}")
             if self.path(k, None, chosen[k]).rsplit("/", 1)[1] not in have:
-                n += self._fit(k, [(None, by[chosen[k]])])
-        return n
+                todo[k] = [(None, by[chosen[k]])]
+        return self._batches(todo)
 
     def pooled(self) -> DataFrame:
         """k, sample_id, class, p of all outer test folds, each sample once."""

@@ -67,7 +67,7 @@ RUN = {"run_name": "nested_boosting", "model": "boosting", "seed": 42, "select_b
 def nested_run(spark, sf):
     """Inner, select and outer stage of boosting in a store of fits: pooled scores of every sample at class and family level, with the number of fits."""
     table = folds(spark, sf).join(samples(spark, sf).select("sample_id", "material"), "sample_id").persist()
-    run = runs.Run(cells(spark, sf).persist(), table, RUN, store.scratch(spark, "run"))
+    run = runs.Run(cells(spark, sf).persist(), table, RUN, store.scratch(spark, "run"), at_once=5)
     n = run.inner()
     run.select()
     n += run.outer(final_scoring=True)
