@@ -19,8 +19,11 @@ open rows in different classes that can reach SIMILAR are verified: such a pair
 shares one of the k-mers in which the two start (rarest first, a fifth of them
 and one more), at a place that leaves enough others. That filter loses no pair,
 so no candidate pair stays unverified unless its rows are in one class already.
-A k-mer of over BLOCK open rows is dealt out by pairs of blocks. Every table that
-a hot key could hit is written first, so Spark can split it. Words travel as
+Rows that share a k-mer meet by size classes, in which a row stands only where
+its size and its place leave room for a similar one, and rows of the group's main
+class don't meet each other; what is left of over BLOCK rows is dealt out by
+pairs of blocks. Every table that a hot key could hit is written first, so Spark
+can split it. Words travel as
 32-bit hashes, only for open rows and candidate pairs. Collected are the counts
 of hashed k-mers, COUNTED numbers whatever the input.
 
@@ -49,8 +52,8 @@ K, SIMILAR = 5, 0.8
 #: Bands, and rows of a bucket that are paired all with all at once.
 BANDS, SMALL = 20, 8
 ENTRIES = 2 * BANDS
-#: Counters of hashed k-mers (a power of two), and rows of a shared k-mer that are paired in one group.
-COUNTED, BLOCK = 1 << 18, 256
+#: Counters of hashed k-mers (a power of two), rows of a shared k-mer that are paired in one group, and how far sizes of one class may be apart.
+COUNTED, BLOCK, SIZES = 1 << 18, 256, 1.05
 
 WORDS = re.compile(WORD)
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -239,6 +242,44 @@ def firsts(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return labelled[order[: n - math.ceil(SIMILAR * n - 1e-9) + 1]]
 
 
+def in_sizes(met: DataFrame) -> DataFrame:
+    """met: t, rep, root, n, at; least and most n of t's rows. A row for each pair of size classes (short, long) in which a row can be the shorter or the longer of a similar pair that first meets in t: its place, too, bounds the size of the other."""
+    size, low, high = F.col("n") - K + 1, F.col("least") - K + 1, F.col("most") - K + 1
+    # What is left from here on must hold the k-mers that both share, as in open_pairs().
+    bound = F.floor(((1 + SIMILAR) * (size - F.col("at")) + 2e-6) / SIMILAR) - size
+    of = lambda c: F.floor(F.log(c.cast("double")) / math.log(SIZES))
+    longest = F.least(high, bound, F.floor((size + 1e-6) / SIMILAR))
+    shortest, shorter_most = F.greatest(low, F.ceil(SIMILAR * size - 1e-6)), F.least(size, bound)
+    rows = met.select("t", "rep", "root", "n", "at", of(size).alias("own"), *[c.alias(k) for k, c in (("size", size), ("longest", longest), ("shortest", shortest), ("shorter_most", shorter_most))])
+    one = rows.filter("longest >= size").withColumn("long", F.explode(F.sequence("own", of(F.col("longest"))))).withColumn("short", F.col("own")).withColumn("shorter", F.lit(True))
+    two = rows.filter("shorter_most >= shortest").withColumn("short", F.explode(F.sequence(of(F.col("shortest")), of(F.col("shorter_most"))))).withColumn("long", F.col("own")).withColumn("shorter", F.lit(False))
+    names = ["t", "short", "long", "shorter", "rep", "root", "n", "at"]
+    return one.select(*names).union(two.select(*names))
+
+
+def dealt(ends: DataFrame) -> DataFrame:
+    """ends: in_sizes(). Its rows in the blocks (part, p, q) in which they meet. Rows of a group's main class need not meet each other: part 0 has the shorter rows of other classes and all longer ones, part 1 the shorter rows of the main class and the longer ones of others. So at most twice the pairs of different classes meet."""
+    key = ["t", "short", "long"]
+    per = ends.groupBy(*key, "root").agg(F.count_if("shorter").alias("x"), F.count_if(~F.col("shorter")).alias("y"))
+    main = F.max_by(F.struct("root", "x", "y"), F.struct(F.col("x") + F.col("y"), "root"))
+    groups = per.groupBy(*key).agg(F.sum("x").alias("x"), F.sum("y").alias("y"), main.alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1 and x > 0 and y > 0")
+    blocks = lambda n: F.ceil(n / BLOCK)
+    part = lambda x, y: F.struct(blocks(x).alias("ps"), blocks(y).alias("qs"))
+    x, y = F.col("x"), F.col("y")
+    parts = groups.select(*key, F.col("main.root").alias("main"), F.array(part(x - F.col("main.x"), y), part(F.col("main.x"), y - F.col("main.y"))).alias("parts"))
+    met = ends.join(written(parts, "parts"), key).withColumn("is_main", F.col("root") == F.col("main"))
+    held = F.when(F.col("shorter"), F.array(F.when(F.col("is_main"), 1).otherwise(0))).when(F.col("is_main"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
+    # A part without rows of either side has no blocks.
+    held = F.filter(held, lambda i: (F.get("parts", i)["ps"] > 0) & (F.get("parts", i)["qs"] > 0))
+    met = met.withColumn("part", F.explode(held)).withColumn("of", F.get("parts", F.col("part")))
+    draw = F.xxhash64("rep", "t")
+    own = F.pmod(draw, F.when(F.col("shorter"), F.col("of.ps")).otherwise(F.col("of.qs")))
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("shorter"), F.col("of.qs")).otherwise(F.col("of.ps")) - 1))
+    met = met.withColumn("block", own).withColumn("other", other)
+    p, q = (F.when(F.col("shorter") == k, F.col("block")).otherwise(F.col("other")) for k in (True, False))
+    return met.select(*key, "shorter", "part", p.alias("p"), q.alias("q"), "rep", "root", "n", "at")
+
+
 def open_pairs(rows: DataFrame) -> DataFrame:
     """rows: rep, root, words. All pairs (a, b) of different roots that the sizes, the shared first k-mer and its place allow to be similar."""
     counts = np.zeros(COUNTED, np.int64)
@@ -254,15 +295,14 @@ def open_pairs(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), full(rep), full(root), full(len(ids)), pa.array(np.arange(len(t)))], ["t", "rep", "root", "n", "at"])
 
     table = written(rows.select("rep", "root", "words").mapInArrow(_firsts, "t long, rep long, root long, n long, at long"), "firsts")
-    shared = table.groupBy("t").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("t", F.ceil(F.col("size") / BLOCK).alias("blocks"))
-    met = table.join(written(shared, "shared"), "t").withColumn("block", F.pmod(F.xxhash64("rep", "t"), "blocks"))
-    # A row meets its own block and every other one.
-    dealt = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    x = dealt.filter("block <= other").select("t", F.col("block").alias("p"), F.col("other").alias("q"), *[F.col(c).alias(f"{c}_x") for c in ("rep", "root", "n", "at")])
-    y = dealt.filter("other <= block").select("t", F.col("other").alias("p"), F.col("block").alias("q"), *[F.col(c).alias(f"{c}_y") for c in ("rep", "root", "n", "at")])
+    shared = table.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most")).filter("lo <> hi").drop("lo", "hi")
+    ends = written(in_sizes(table.join(written(shared, "shared"), "t")), "sizes")
+    met = dealt(ends)
+    key, own = ["t", "short", "long", "part", "p", "q"], ["rep", "root", "n", "at"]
+    x, y = (met.filter(F.col("shorter") == of).select(*key, *[F.col(c).alias(f"{c}_{name}") for c in own]) for of, name in ((True, "x"), (False, "y")))
     left = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y")) - K + 1
     enough = (1 + SIMILAR) * left >= SIMILAR * (F.col("n_x") + F.col("n_y") - 2 * K + 2) - 1e-6
-    pairs = x.join(y, ["t", "p", "q"]).filter((F.col("root_x") != F.col("root_y")) & ((F.col("p") < F.col("q")) | (F.col("rep_x") < F.col("rep_y"))) & close(F.col("n_x"), F.col("n_y")) & enough)
+    pairs = x.join(y, key).filter((F.col("root_x") != F.col("root_y")) & (F.struct("n_x", "rep_x") < F.struct("n_y", "rep_y")) & close(F.col("n_x"), F.col("n_y")) & enough)
     return written(pairs.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct(), "pairs")
 
 

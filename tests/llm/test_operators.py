@@ -303,6 +303,50 @@ def test_large_buckets_miss_no_link_of_brute_force(spark, block, monkeypatch):
     assert sorted(r.class_size for r in out.filter("kept").collect()) == want
 
 
+def test_open_pairs_have_every_similar_pair_of_any_sizes(spark, monkeypatch):
+    """Copies that are cut or changed in some places, in classes drawn at random: sizes fall into many size classes, groups into many blocks."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    rng = np.random.default_rng(11)
+    rows = []
+    for long in (6, 40, 150):
+        base = rng.integers(0, 2**32, long, dtype=np.uint32)
+        for _ in range(40):
+            a = base.copy()
+            a[rng.integers(0, long, rng.integers(0, 1 + long // 20))] += 1 + rng.integers(0, 3, dtype=np.uint32)
+            rows.append((len(rows), int(rng.choice([1, 1, 1, 2, 3, 4])), a[: max(near_dedup.K, long - int(rng.integers(0, 1 + long // 4)))]))
+    sets = [near_dedup.kmers(w)[1] for *_, w in rows]
+    want = set()
+    for i, x, _ in rows:
+        for j, y, _ in rows[:i]:
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if x != y and both >= near_dedup.SIMILAR * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+                want.add((j, i))
+    table = spark.createDataFrame([(k, r, w.tobytes()) for k, r, w in rows], "rep long, root long, words binary")
+    got = {(p.a, p.b) for p in near_dedup.open_pairs(table).collect()}
+    assert len(want) > 400 and want <= got and all(rows[a][1] != rows[b][1] for a, b in got)
+
+
+def test_rows_of_a_large_class_are_dealt_in_proportion(spark, monkeypatch):
+    """A class whose rows share a k-mer with two rows of other classes: none of them is dealt once for each block of its own class."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    seen = []
+    deal = near_dedup.dealt
+
+    def counted(ends):
+        out = near_dedup.written(deal(ends), "dealt")
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "dealt", counted)
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**32, 60, dtype=np.uint32)
+    for copies in (200, 400):
+        rows = [(k, 0, base.copy()) for k in range(copies)] + [(copies + k, 1 + k, base.copy()) for k in range(2)]
+        table = spark.createDataFrame([(k, r, w.tobytes()) for k, r, w in rows], "rep long, root long, words binary")
+        assert near_dedup.open_pairs(table).count() == 2 * copies + 1
+    assert seen[1] < 2.2 * seen[0]
+
+
 def test_first_kmers_lose_no_similar_pair():
     rng = np.random.default_rng(3)
     for _ in range(300):
