@@ -65,3 +65,13 @@ def test_training_rows_are_made_once(spark):
     models.fit_predict("forest", counted, train, trees=2)
     # Once for the weights of classes and once for the fit; it was a pass more for each look at the rows and each of the fit's own.
     assert made.value <= 2 * n
+
+
+def test_classes_fitted_at_once_are_those_fitted_one_by_one(spark):
+    from pyspark.ml.linalg import Vectors
+
+    rows = spark.createDataFrame([(k, k % 3, Vectors.dense([(k % 3) * 0.5 + (k * 7 % 11) / 10, k * 5 % 13 / 10])) for k in range(90)], ["sample_id", "class", "features"])
+    at_once = models.estimator("boosting", 2, 3, iterations=1)
+    assert at_once.getParallelism() > 1
+    got, want = ([(r.sample_id, r.prediction) for r in e.fit(rows).transform(rows).orderBy("sample_id").collect()] for e in (at_once, at_once.copy().setParallelism(1)))
+    assert got == want and len({p for _, p in got}) == 3
