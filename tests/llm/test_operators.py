@@ -87,6 +87,29 @@ def test_exact_groups_while_split_sizes_change(spark, docs, monkeypatch):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_exact_texts_are_read_whole_only_while_many_share_bytes(spark, tmp_path, monkeypatch):
+    long = prose(1, 900)
+    texts = [f"{k}: {prose(k, 5)}" for k in range(80)] + [long + end for end in ("", "", "x", "X", "é", "è")] + [long[:n] for n in (64, 64, 320, 1344, 1344, 1345)] + [None, ""]
+    spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").coalesce(2).write.parquet(f"file://{tmp_path}/docs")
+    given, reads, write = spark.read.parquet(f"file://{tmp_path}/docs"), [], exact_dedup.written
+
+    def noted(df, name):
+        reads.append((name, any(f"{tmp_path}/docs/" in f for f in df.inputFiles())))
+        return write(df, name)
+
+    monkeypatch.setattr(exact_dedup, "written", noted)
+    out = {r["doc_id"]: r for r in exact_dedup.exact_dedup(given).collect()}
+    want = defaultdict(list)
+    for k, t in enumerate(texts):
+        want[fold(t)].append(k)
+    assert len(out) == len(texts)
+    for ids in want.values():
+        assert all((out[k]["keep_id"], out[k]["group_size"], out[k]["kept"]) == (max(ids), len(ids), k == max(ids)) for k in ids)
+    # One text in six goes on after the first level; levels after it read what is left of those.
+    assert len([n for n, _ in reads if n == "radix-groups"]) > 4
+    assert len([n for n, whole in reads if whole]) <= 3
+
+
 def test_license_base_phrases(docs, rows, empty):
     got = Counter(tuple(r) for r in license_scan.license_scan(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels").collect())
     want = Counter()
