@@ -1,7 +1,7 @@
 """Registered queries that fit do the rounds and trials that their methods need."""
 
 import numpy as np
-from cohortgrid.operators import nested, search
+from cohortgrid.operators import boosting, nested, runs, search
 from cohortgrid.plans.catalogue import QUERIES
 from pyspark.sql import functions as F
 
@@ -37,3 +37,18 @@ def test_scores_of_trials_are_those_of_plain_distances(spark):
             nearest = d.groupBy("k", "j", "setting", "sample_id").agg(F.min_by("class", F.struct(F.round("distance", 6), "class")).alias("predicted"))
             want = nested.setting_scores(nearest, truth).agg(F.avg("macro_f1")).first()[0]
             assert abs(found[k] - want) < 1e-12
+
+
+def test_settings_of_a_run_share_bin_edges(spark, tmp_path, monkeypatch):
+    rng, made, edges = np.random.default_rng(2), [], boosting.bin_edges
+    monkeypatch.setattr(boosting, "bin_edges", lambda rows, bins: made.append(bins) or edges(rows, bins))
+    cells = spark.createDataFrame([(s, "ab"[s % 2], "FFPE", p, float(rng.random() + 0.3 * (s % 2 == p % 2))) for s in range(48) for p in range(4)], "sample_id long, class string, material string, probe int, beta double").persist()
+    folds = spark.createDataFrame([(s, "ab"[s % 2], "FFPE", (o := s // 2 % 2), [-1 if k == o else s // 4 % 3 for k in range(2)]) for s in range(48)], "sample_id long, class string, material string, outer_fold int, inner array<int>").persist()
+    begin = lambda name, rates, bins: runs.Run(cells, folds, {"run_name": name, "model": "boosting", "seed": 1, "select_by": "macro_f1", "features": {"n_probes": [3], "correct_material": [False]}, "model_params": {"rounds": [2], "depth": [1], "bins": bins, "rate": rates}}, f"file://{tmp_path}")
+    both = begin("both", [0.1, 0.5], [4, 8])
+    assert both.inner([0]) == 12 and sorted(made) == [4, 8]
+    alone = begin("alone", [0.5], [8])
+    assert alone.inner([0]) == 3
+    rows = lambda run, name: sorted((r.j, r.sample_id, r["class"], round(r.p, 12)) for r in run.load([(0, j, name) for j in range(3)]).collect())
+    name = next(s["setting"] for s in both.settings if s["model_params"] == alone.settings[0]["model_params"])
+    assert rows(both, name) == rows(alone, "s000")
